@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from .decontaminate import mark_contamination
+from .html_extract import extract_text
+from .packing import pack
 from .secrets import scan_secrets
+from .toxicity import fit_toxicity, is_held_out, score_toxicity
 from .url_filter import CONTRACT_RULES, judge_urls, rules_frame
 
 
@@ -23,6 +26,28 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels").where(~is_held_out()))
+    scored = score_toxicity(docs, model)
+    return scored.select("doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "threshold", "rejected")
+
+
+def tokenizer_path() -> str:
+    """The public tokenizer of the packing contract."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
@@ -76,8 +101,11 @@ FROM p LEFT JOIN (SELECT * FROM j WHERE k = 1) USING (rid)
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_toxicity": op2_toxicity,
+    "op5_pack": op5_pack,
     "op7_secrets": op7_secrets,
     "op9_urls": op9_urls,
+    "op10_html": op10_html,
 }
 
 SQL = {
