@@ -21,6 +21,7 @@ No step sorts on one task, and nothing but class counts passes through the drive
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 
@@ -37,8 +38,10 @@ SPECIAL = "<|endoftext|>"
 REMEMBERED = 300_000
 #: Rows of one size class and salt that one window task ranks, about.
 PER_SALT = 250_000
-#: Upper ends of the bands below half a sequence.
-BANDS = (1024, 512, 256, 128, 64)
+#: The bands' upper ends as parts of a sequence: of a band's longest pieces so many fill one.
+PARTS = (2, 3, 4, 5, 6, 8, 12, 16, 32, 64, 128, 256, 512, 1024, 2048)
+#: Supersteps of a band that open only as many sequences as its tokens fill; then as many as its pieces need.
+TIGHT_STEPS = 3
 
 _state: dict = {}
 
@@ -159,13 +162,15 @@ def sweep(pieces: dict[int, int], gaps: dict[int, int], band: int) -> tuple[list
 
 
 def _ranked_by(df: DataFrame, size: str, key: str, rows: int) -> DataFrame:
-    """``df`` with rank: 0, 1, ... among rows of equal ``size``; no task ranks a whole hot class."""
-    salts = max(8, -(-rows // PER_SALT))
-    df = df.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)))
+    """``df`` with rank: 0, 1, ... among rows of equal ``size``; no task ranks much more than ``PER_SALT`` rows of a class."""
+    salts = -(-rows // PER_SALT)
+    df = df.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(max(1, salts))))
+    df = df.withColumn("rank", F.row_number().over(Window.partitionBy(size, "_salt").orderBy(key)) - 1)
+    if salts <= 1:  # a single salt has nothing before it
+        return df.drop("_salt")
     before = Window.partitionBy(size).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = df.groupBy(size, "_salt").agg(F.count(F.lit(1)).alias("_n")).select(size, "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    local = F.row_number().over(Window.partitionBy(size, "_salt").orderBy(key)) - 1
-    return df.withColumn("_local", local).join(offsets, [size, "_salt"]).withColumn("rank", F.col("_local") + F.col("_before")).drop("_salt", "_local", "_before")
+    return df.join(offsets, [size, "_salt"]).withColumn("rank", F.col("rank") + F.col("_before")).drop("_salt", "_before")
 
 
 def _counts(df: DataFrame, size: str) -> dict[int, int]:
@@ -184,16 +189,18 @@ def assign(pieces: DataFrame, size: int = SIZE) -> list[DataFrame]:
     lengths = _counts(pieces, "length")
     opened = 0
     old: list[DataFrame] = []
-    bands = [size // 2, *[b for b in BANDS if b < size // 2]]
-    for upper, lower in zip(bands, [*bands[1:], 0]):
+    ends = [e for e in dict.fromkeys(size // k for k in PARTS) if e]
+    for upper, lower in zip(ends, [*ends[1:], 0]):
         todo = {n: c for n, c in lengths.items() if lower < n <= upper}
         rest = pieces.where((F.col("length") > lower) & (F.col("length") <= upper)).select("uid", "length")
         step = 0
         while todo:
+            upper = max(todo)
             room = _counts(gaps.where(F.col("gap") > lower), "gap")
             runs, left, placed = sweep(todo, room, upper)
             if left and (step or not placed):
-                new = max(1, -(-sum(n * c for n, c in left.items()) // size))
+                fill = sum(n * c for n, c in left.items()) / size if step <= TIGHT_STEPS and upper < size // 6 else sum(left.values()) / (size // upper)
+                new = max(1, math.ceil(fill))
                 fresh = spark.range(opened + 1, opened + new + 1).select((-F.col("id")).alias("bin"), F.lit(size).cast("long").alias("gap"))
                 opened += new
                 gaps = gaps.unionByName(fresh)
@@ -206,7 +213,7 @@ def assign(pieces: DataFrame, size: int = SIZE) -> list[DataFrame]:
                 F.broadcast(plan.alias("r")), (F.col("p.length") == F.col("r.length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n")), "left"
             )
             wanted = wanted.select("uid", "p.length", "gap", F.floor((F.col("slot") + F.col("rank") - F.col("first")) / F.col("slots")).alias("rank"))
-            offered = _ranked_by(gaps.where(F.col("gap").isin(used)), "gap", "bin", sum(room.values()))
+            offered = _ranked_by(gaps.where(F.col("gap").isin(used)), "gap", "bin", sum(room.get(g, 0) for g in used))
             step_out = stash(wanted.join(offered, ["gap", "rank"], "left").select("uid", "length", "bin"), "placed")
             placements.append(step_out.where(F.col("bin").isNotNull()))
             took = step_out.where(F.col("bin").isNotNull()).groupBy("bin").agg(F.sum("length").alias("_took"))

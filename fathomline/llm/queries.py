@@ -12,6 +12,7 @@ from .packing import pack
 from .secrets import scan_secrets
 from .toxicity import fit_toxicity, is_held_out, score_toxicity
 from .url_filter import CONTRACT_RULES, judge_urls, rules_frame
+from .vamana import build_index, search
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +34,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "threshold", "rejected")
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return search(build_index(vectors), vectors.where(F.pmod("vec_id", F.lit(100)) == 0), 10)
+
+
 def tokenizer_path() -> str:
     """The public tokenizer of the packing contract."""
     import public_tokenizers
@@ -102,6 +108,7 @@ FROM p LEFT JOIN (SELECT * FROM j WHERE k = 1) USING (rid)
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_toxicity": op2_toxicity,
+    "op4_neighbours": op4_neighbours,
     "op5_pack": op5_pack,
     "op7_secrets": op7_secrets,
     "op9_urls": op9_urls,
