@@ -10,6 +10,7 @@ from .decontaminate import mark_contamination
 from .html_extract import extract_text
 from .packing import pack
 from .secrets import scan_secrets
+from .shingle_join import link_documents
 from .toxicity import fit_toxicity, is_held_out, score_toxicity
 from .url_filter import CONTRACT_RULES, judge_urls, rules_frame
 from .vamana import build_index, search
@@ -59,6 +60,10 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules_frame(spark, CONTRACT_RULES))
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -91,6 +96,25 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN h USING (rid) LEFT JOIN i USING (rid)
 """
 
+OP8_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT rid, array_to_string(w[i : i + least(5, len(w)) - 1], ' ') AS sh
+  FROM (SELECT rid, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+p AS (SELECT x.rid AS a, y.rid AS b, count(*) AS c FROM s x JOIN s y ON x.sh = y.sh AND x.rid <> y.rid GROUP BY ALL),
+e AS (
+  SELECT a, b FROM p JOIN n na ON na.rid = a JOIN n nb ON nb.rid = b
+  WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+r AS (SELECT rid AS a, rid AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id
+FROM d LEFT JOIN n USING (rid)
+JOIN (SELECT r.a AS rid, min(x.doc_id) AS component_id FROM r JOIN d x ON x.rid = r.b GROUP BY r.a) m USING (rid)
+"""
+
 OP9_SQL = f"""
 WITH rules(verdict, rh, rp) AS (VALUES {", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in CONTRACT_RULES)}),
 p AS (
@@ -111,11 +135,13 @@ QUERIES = {
     "op4_neighbours": op4_neighbours,
     "op5_pack": op5_pack,
     "op7_secrets": op7_secrets,
+    "op8_jaccard": op8_jaccard,
     "op9_urls": op9_urls,
     "op10_html": op10_html,
 }
 
 SQL = {
     "op1_decontaminate": OP1_SQL,
+    "op8_jaccard": OP8_SQL,
     "op9_urls": OP9_SQL,
 }
