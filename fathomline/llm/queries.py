@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from ..sources.tables import table
 from .decontaminate import mark_contamination
 from .html_extract import extract_text
+from .line_dedup import dedup_lines
 from .packing import pack
 from .secrets import scan_secrets
 from .shingle_join import link_documents
+from .surrogates import replace_entities
 from .toxicity import fit_toxicity, is_held_out, score_toxicity
 from .url_filter import CONTRACT_RULES, judge_urls, rules_frame
 from .vamana import build_index, search
@@ -35,6 +37,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "threshold", "rejected")
 
 
+def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), "fathomline").select("doc_id", "n_entities", "text")
+
+
 def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return search(build_index(vectors), vectors.where(F.pmod("vec_id", F.lit(100)) == 0), 10)
@@ -55,6 +61,10 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
@@ -132,8 +142,10 @@ FROM p LEFT JOIN (SELECT * FROM j WHERE k = 1) USING (rid)
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_toxicity": op2_toxicity,
+    "op3_surrogates": op3_surrogates,
     "op4_neighbours": op4_neighbours,
     "op5_pack": op5_pack,
+    "op6_lines": op6_lines,
     "op7_secrets": op7_secrets,
     "op8_jaccard": op8_jaccard,
     "op9_urls": op9_urls,
