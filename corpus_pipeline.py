@@ -1,6 +1,72 @@
-"""The corpus pipeline."""
-STAGES = []
+"""The corpus pipeline: toxicity, line dedup, n-gram near duplicates, decontamination, packing.
+
+Each stage is a function (spark, docs, sf_dir) -> DataFrame; its result is written as Parquet and
+read again as the next stage's ``docs``. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from fathomline.llm.common import stash
+from fathomline.llm.decontaminate import mark_contamination
+from fathomline.llm.line_dedup import dedup_lines
+from fathomline.llm.packing import pack
+from fathomline.llm.queries import tokenizer_path
+from fathomline.llm.shingle_join import keep_one
+from fathomline.llm.toxicity import fit_toxicity, is_held_out, score_toxicity
+from fathomline.sources.tables import table
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject by their language's threshold.
+
+    It learns from the labelled rows of ``docs`` that no evaluation holds out.
+    """
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels").where(~is_held_out()))
+    return score_toxicity(docs, model).where("not rejected").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, of near or equal lines only the first kept; n_chars follows the text."""
+    from pyspark.sql import functions as F
+
+    out = dedup_lines(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that five-word shingles link at a similarity of 0.8."""
+    return keep_one(docs).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of a benchmark item."""
+    return mark_contamination(docs, table(spark, sf_dir, "benchmark")).where("n_hit = 0").select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all that is left, placed in sequences."""
+    return pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
+
+#: The classifier, MinHash banding and packing have no SQL; the stages are tested one by one instead.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each stage's rows stashed for the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stash(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
