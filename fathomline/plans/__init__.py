@@ -1 +1,6 @@
+"""Registered queries of the engine and their oracle SQL."""
 
+from . import telemetry_queries
+
+QUERIES = {**telemetry_queries.QUERIES}
+SQL = {**telemetry_queries.SQL}
