@@ -1,6 +1,6 @@
 """Registered queries of the engine and their oracle SQL."""
 
-from . import telemetry_queries
+from . import scoring_queries, telemetry_queries
 
-QUERIES = {**telemetry_queries.QUERIES}
-SQL = {**telemetry_queries.SQL}
+QUERIES = {**telemetry_queries.QUERIES, **scoring_queries.QUERIES}
+SQL = {**telemetry_queries.SQL, **scoring_queries.SQL}
