@@ -55,8 +55,9 @@ def overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def label_instants(points: DataFrame, ts: str, failures: DataFrame, excluded: DataFrame, key: str = "seq") -> DataFrame:
     """Each point as failure, excluded or negative, in this order of precedence."""
-    f = points_in(points.select("unit_id", key, ts), ts, failures).select("unit_id", key, F.lit(2).alias("_l"))
-    x = points_in(points.select("unit_id", key, ts), ts, excluded).select("unit_id", key, F.lit(1).alias("_l"))
+    # islands first: a point is then met once a label, however many intervals overlap
+    f = points_in(points.select("unit_id", key, ts), ts, union(failures)).select("unit_id", key, F.lit(2).alias("_l"))
+    x = points_in(points.select("unit_id", key, ts), ts, union(excluded)).select("unit_id", key, F.lit(1).alias("_l"))
     best = f.unionByName(x).groupBy("unit_id", key).agg(F.max("_l").alias("_l"))
     label = F.when(F.col("_l") == 2, "failure").when(F.col("_l") == 1, "excluded").otherwise("negative")
     return points.join(best, ["unit_id", key], "left").withColumn("label", label).drop("_l")

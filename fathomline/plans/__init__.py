@@ -1,6 +1,7 @@
 """Registered queries of the engine and their oracle SQL."""
 
-from . import scoring_queries, telemetry_queries
+from . import retrieval_queries, scoring_queries, telemetry_queries
 
-QUERIES = {**telemetry_queries.QUERIES, **scoring_queries.QUERIES}
-SQL = {**telemetry_queries.SQL, **scoring_queries.SQL}
+_MODULES = (telemetry_queries, scoring_queries, retrieval_queries)
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+SQL = {name: s for m in _MODULES for name, s in m.SQL.items()}

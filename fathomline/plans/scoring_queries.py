@@ -176,7 +176,7 @@ def cost_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("cost_by_backend_argmax", f"""{COST}, m AS (SELECT backend, model, count(*) AS calls, sum(tokens_in) AS tin, sum(cost) AS cost FROM led GROUP BY ALL)
-SELECT backend, CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(tin) AS BIGINT) AS tokens_in, round(sum(cost), 4) AS cost, arg_min(model, (-calls, model)) AS top_model FROM m GROUP BY backend""")
+SELECT backend, CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(tin) AS BIGINT) AS tokens_in, round(sum(cost), 8) AS cost, arg_min(model, (-calls, model)) AS top_model FROM m GROUP BY backend""")
 def cost_by_backend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return costs.by_backend(costs.ledger(calls(spark, sf_dir)))
 
@@ -270,20 +270,19 @@ def latest_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions(spark, sf_dir).groupBy("episode_id").agg(F.max_by("decision_id", key).alias("decision_id"), F.min_by("choice", key).alias("first_choice"), F.max_by("choice", key).alias("last_choice"), F.max("confidence").alias("most"))
 
 
-@query("upsert_last_wins", "u AS (SELECT o_orderkey AS k, 1 AS ver, o_totalprice AS v FROM orders UNION ALL SELECT o_orderkey, 2, o_totalprice + 1 FROM orders WHERE o_orderkey % 5 = 0) SELECT k, arg_max(v, ver) AS v, CAST(max(ver) AS INTEGER) AS ver FROM u GROUP BY k")
+@query("upsert_last_wins", "u AS (SELECT o_orderkey AS k, 1 AS ver, o_totalprice AS v FROM orders UNION ALL SELECT o_orderkey, 2, o_totalprice + 1 FROM orders WHERE o_orderstatus = 'F') SELECT k, arg_max(v, ver) AS v, CAST(max(ver) AS INTEGER) AS ver FROM u GROUP BY k")
 def upsert_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     old = o.select(F.col("o_orderkey").alias("k"), F.lit(1).alias("ver"), F.col("o_totalprice").alias("v"))
-    new = o.where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("k"), F.lit(2).alias("ver"), (F.col("o_totalprice") + 1).alias("v"))
+    new = o.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("k"), F.lit(2).alias("ver"), (F.col("o_totalprice") + 1).alias("v"))
     return tables.upsert(old, new, ["k"], ["ver"]).select("k", "v", "ver")
 
 
-@query("insert_ignore", "n AS (SELECT 1) SELECT o_orderkey AS k, o_orderstatus AS s FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, 'new' FROM orders WHERE o_orderkey % 2 <> 0 AND o_orderkey % 3 = 0")
+@query("insert_ignore", "n AS (SELECT 1) SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'F' THEN 'old' ELSE 'new' END AS s FROM orders")
 def insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
-    old = o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"))
-    new = o.where("o_orderkey % 3 = 0 or o_orderkey % 2 = 0").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("k"), F.lit("new").alias("s"))
-    return tables.insert_ignore(old, new, ["k"])
+    old = o.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("k"), F.lit("old").alias("s"))
+    return tables.insert_ignore(old, o.select(F.col("o_orderkey").alias("k"), F.lit("new").alias("s")), ["k"])
 
 
 @query("retention_prune", f"{TELEMETRY_SQL} SELECT unit_id, seq FROM tel WHERE sim_ts >= (SELECT max(sim_ts) FROM tel) - INTERVAL 7 DAY")

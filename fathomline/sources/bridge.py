@@ -36,30 +36,24 @@ TELEMETRY_SQL = """tel AS (
   FROM events)"""
 
 
-def windows(spark: SparkSession, sf_dir: str, every: int = 97) -> DataFrame:
-    """Labelled intervals from orders: id, unit_id, from_ts, to_ts (half-open), accepted."""
-    o = table(spark, sf_dir, "orders").where(F.col("o_orderkey") % every == 0)
-    day = F.lit("2024-01-01").cast("timestamp")
-    start = F.timestamp_add("DAY", (F.col("o_orderkey") % 30).cast("int"), day)
-    return o.select(
-        F.col("o_orderkey").alias("window_id"),
-        (F.col("o_orderkey") % UNITS).alias("unit_id"),
-        start.alias("from_ts"),
-        F.timestamp_add("HOUR", (1 + F.col("o_custkey") % 12).cast("int"), start).alias("to_ts"),
-        F.col("o_orderpriority").alias("accepted"),
-    )
+def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled intervals from all orders, one a unit, day and priority: window_id, unit_id, from_ts, to_ts (half-open), accepted."""
+    o = table(spark, sf_dir, "orders")
+    unit, day = F.col("o_orderkey") % UNITS, F.col("o_orderkey") % 30
+    g = o.groupBy(unit.alias("unit_id"), day.alias("day"), F.col("o_orderpriority").alias("accepted")).agg(F.min("o_orderkey").alias("window_id"), F.min("o_custkey").alias("c"), F.count(F.lit(1)).alias("n"))
+    start = F.timestamp_add("HOUR", (F.col("day") * 24 + F.col("c") % 12).cast("int"), F.lit("2024-01-01").cast("timestamp"))
+    return g.select("window_id", "unit_id", start.alias("from_ts"), F.timestamp_add("HOUR", (1 + F.col("n") % 12).cast("int"), start).alias("to_ts"), "accepted")
 
 
 WINDOWS_SQL = """win AS (
-  SELECT o_orderkey AS window_id, o_orderkey % 4 AS unit_id, TIMESTAMP '2024-01-01' + to_days(CAST(o_orderkey % 30 AS INTEGER)) AS from_ts,
-         TIMESTAMP '2024-01-01' + to_days(CAST(o_orderkey % 30 AS INTEGER)) + to_hours(CAST(1 + o_custkey % 12 AS INTEGER)) AS to_ts,
-         o_orderpriority AS accepted
-  FROM orders WHERE o_orderkey % 97 = 0)"""
+  SELECT window_id, unit_id, TIMESTAMP '2024-01-01' + to_hours(CAST(day * 24 + c % 12 AS INTEGER)) AS from_ts,
+         TIMESTAMP '2024-01-01' + to_hours(CAST(day * 24 + c % 12 + 1 + n % 12 AS INTEGER)) AS to_ts, accepted
+  FROM (SELECT o_orderkey % 4 AS unit_id, o_orderkey % 30 AS day, o_orderpriority AS accepted, min(o_orderkey) AS window_id, min(o_custkey) AS c, count(*) AS n FROM orders GROUP BY ALL))"""
 
 
-def tickets(spark: SparkSession, sf_dir: str, every: int = 31) -> DataFrame:
-    """Tickets from orders: ticket_id, unit_id, opened, fault, confidence."""
-    o = table(spark, sf_dir, "orders").where(F.col("o_orderkey") % every == 0)
+def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tickets from all orders: ticket_id, unit_id, opened, fault, confidence."""
+    o = table(spark, sf_dir, "orders")
     day = F.lit("2024-01-01").cast("timestamp")
     opened = F.timestamp_add("MINUTE", (F.col("o_custkey") * 37 % 43200).cast("int"), day)
     return o.select(F.col("o_orderkey").alias("ticket_id"), (F.col("o_orderkey") % UNITS).alias("unit_id"), opened.alias("opened"), F.col("o_orderpriority").alias("fault"), (F.col("o_orderkey") * 37 % 100 / 100).alias("confidence"))
@@ -68,7 +62,7 @@ def tickets(spark: SparkSession, sf_dir: str, every: int = 31) -> DataFrame:
 TICKETS_SQL = """tic AS (
   SELECT o_orderkey AS ticket_id, o_orderkey % 4 AS unit_id, TIMESTAMP '2024-01-01' + to_minutes(CAST(o_custkey * 37 % 43200 AS INTEGER)) AS opened,
          o_orderpriority AS fault, (o_orderkey * 37 % 100) / 100 AS confidence
-  FROM orders WHERE o_orderkey % 31 = 0)"""
+  FROM orders)"""
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
