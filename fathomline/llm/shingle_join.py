@@ -13,8 +13,9 @@ reach T >= SIMILARITY % of either set. The inverted index is searched as DivideS
   binary search until T is reached.
 
 The share is by hash value, the same for all documents, so a shared token below it is below it on
-both sides. A pair is sure to be met if for one of its classes T - L >= 1. Classes for which that
-fails (most of their tokens stand in long lists, or they are short) go to a second search among
+both sides. A pair is sure to be met if one of its classes is sure: T - L is 1 at least, and so large a part
+of the set that a few shared tokens make no candidate. Classes for which that fails (most of
+their tokens stand in long lists, or they are short) propose nothing and go to a second search among
 themselves over all their tokens: there each class searches with its n - T + 1 rarest tokens, whose
 lists of any length are linked to their smallest member first; what is still in different
 components after that is paired in full. That pairing is exact and empty for groups of copies
@@ -40,6 +41,8 @@ WORDS = 5
 SIMILARITY = 80
 SHARE = 0.28
 SHORT = 24
+#: A class is sure if T - L reaches this part of its set.
+MARGIN = 32
 #: Ids that may be broadcast to pick documents; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 REMEMBERED = 400_000
@@ -152,9 +155,9 @@ def _passed_on(batches):
 
     def close() -> None:
         if not is_long and len(members) > 1:
-            for i in range(len(members) - 1):
-                a.append(members[i])
-                others.append(members[i + 1 :])
+            for i, c in enumerate(members):
+                a.append(c)
+                others.append(members[:i] + members[i + 1 :])
                 long_.append(0)
 
     def taken():
@@ -195,17 +198,18 @@ def _passed_on(batches):
 def _merged(batches):
     """Rows (c, others, long, n, s) sorted by c to candidates (a, b) and a row (a, null, long) for each class with long lists.
 
-    Each class heap-merges its lists; what occurs T - L times or more stays.
+    Each class that is sure heap-merges its lists; what occurs T - L times or more stays.
     """
     a, b, many = [], [], []
     for c, (others, long_, n, s) in _runs(batches, ["c", "others", "long", "n", "s"]):
         c, hot = int(c), sum(long_)
         if hot:
             a.append(c), b.append(None), many.append(hot)
-        need = max(1, -(-SIMILARITY * n[0] // 100) - (n[0] - s[0]) - hot)
-        for other, hits in groupby(heapq.merge(*[o for o in others if o])):
-            if sum(1 for _ in hits) >= need:
-                a.append(c), b.append(other), many.append(0)
+        need = -(-SIMILARITY * n[0] // 100) - (n[0] - s[0]) - hot
+        if need >= max(1, n[0] // MARGIN):
+            for other, hits in groupby(heapq.merge(*[o for o in others if o])):
+                if sum(1 for _ in hits) >= need:
+                    a.append(min(c, other)), b.append(max(c, other)), many.append(0)
         if len(a) > 50_000:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, many)], names=["a", "b", "long"])
             a, b, many = [], [], []
@@ -308,9 +312,10 @@ class _Search:
         members = passed.where("long = 0").unionByName(hot)
         asked = members.join(self.classes.select("c", "n", "s"), "c").repartition(parts, "c").sortWithinPartitions("c")
         merged = stash(asked.mapInArrow(_merged, "a long, b long, long long"), "merged")
-        self.link(stash(self.fitting(merged.where(F.col("b").isNotNull()).select("a", "b")), "pairs"))
+        self.link(stash(self.fitting(merged.where(F.col("b").isNotNull()).select("a", "b").distinct()), "pairs"))
         long_lists = merged.where(F.col("b").isNull()).select(F.col("a").alias("c"), "long")
-        sure = F.col("s") - F.coalesce("long", F.lit(0)) >= F.col("n") - _least(F.col("n")) + 1
+        need = _least(F.col("n")) - (F.col("n") - F.col("s")) - F.coalesce("long", F.lit(0))
+        sure = need >= F.greatest(F.lit(1), F.floor(F.col("n") / MARGIN))
         return stash(self.classes.select("c", "n", "s").join(long_lists, "c", "left").where(~sure).select("c"), "unsure")
 
     def second_search(self, unsure: DataFrame) -> None:
