@@ -27,5 +27,6 @@ def page(df: DataFrame, ts: str, key: str, size: int, before: tuple | None = Non
     """The next ``size`` rows and one more, newest first, strictly before the cursor (time, key)."""
     if before:
         at = F.lit(before[0]).cast("timestamp")
-        df = df.where((F.col(ts) < at) | ((F.col(ts) == at) & (F.col(key) < before[1])))
+        # the plain bound is implied, but only it reaches the scan
+        df = df.where(F.col(ts) <= at).where((F.col(ts) < at) | ((F.col(ts) == at) & (F.col(key) < before[1])))
     return df.orderBy(F.desc(ts), F.desc(key)).limit(size + 1)

@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as x
+from ..functions.conditions import compile_condition
+from ..operators import rules as rules_
 from ..operators import series
 from ..operators import telemetry as t
+from ..sources import recordings
 from ..sources.bridge import TELEMETRY_SQL, telemetry
 
 HOURS6 = 6 * 3600
@@ -392,3 +395,46 @@ def start_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.min(t.seconds("sim_ts")).over(Window.partitionBy("unit_id", "run_id"))
     peaks = runs.withColumn("_s", start).where(t.seconds("sim_ts") <= F.col("_s") + 1800).groupBy("unit_id", "run_id").agg(F.max("v").alias("peak"))
     return peaks.groupBy("unit_id").agg(F.count(F.lit(1)).alias("starts"), F.round(F.percentile("peak", 0.5), 6).alias("p50"), F.round(F.percentile("peak", 0.95), 6).alias("p95"))
+
+
+TREE = {"all": [{"any": [{"signal": "v", "op": "gt", "value": "limit"}, {"signal": "motor_current", "minus": "v", "op": "lt", "value": -50.0}]}, {"state": "not_loaded"}]}
+
+
+@query("condition_tree", f"{MODED} SELECT unit_id, seq, (v > 70 OR motor_current - v < -50) AND mode IN ('unloaded', 'off') AS fires FROM m")
+def condition_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.with_state(telemetry(spark, sf_dir)).select("unit_id", "seq", compile_condition(TREE, {"limit": 70.0}).alias("fires"))
+
+
+CODES = ["A01", "A02", "A03", "A04"]
+
+
+@query("register_codec", """ SELECT unit_id, seq, CAST(least(greatest(round((v - 50) * 100), -32768), 32767) AS INTEGER) & 65535 AS word, least(greatest(round((v - 50) * 100), -32768), 32767) / 100 AS back,
+       array_to_string(list_filter([CASE WHEN seq & 1 = 1 THEN 'A01' END, CASE WHEN (seq >> 1) & 1 = 1 THEN 'A02' END, CASE WHEN (seq >> 2) & 1 = 1 THEN 'A03' END, CASE WHEN (seq >> 3) & 1 = 1 THEN 'A04' END], lambda x: x IS NOT NULL), ',') AS codes FROM tel""")
+def register_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = recordings.word(F.col("v") - 50, 100.0)
+    return telemetry(spark, sf_dir).select("unit_id", "seq", w.alias("word"), recordings.from_word(w, 100.0).alias("back"), F.array_join(recordings.codes_of(F.col("seq"), CODES), ",").alias("codes"))
+
+
+@query("sequence_drops", """, s AS (SELECT unit_id, seq, seq - lag(seq) OVER (PARTITION BY unit_id ORDER BY sim_ts, seq) AS step FROM tel)
+SELECT unit_id, seq, CASE WHEN step > 1 THEN step - 1 ELSE 0 END AS lost, coalesce(step <= 0, false) AS restart FROM s""")
+def sequence_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recordings.drops(telemetry(spark, sf_dir)).select("unit_id", "seq", "lost", "restart")
+
+
+@query("carry_forward", """ SELECT unit_id, seq, last_value(CASE WHEN v > 20 THEN v END IGNORE NULLS) OVER (PARTITION BY unit_id ORDER BY sim_ts, seq ROWS UNBOUNDED PRECEDING) AS v FROM tel""")
+def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings of 20 or less stand in for missing cells."""
+    df = telemetry(spark, sf_dir).withColumn("v", F.when(F.col("v") > 20, F.col("v")))
+    return recordings.carried(df, ["v"], ["unit_id"], ["sim_ts", "seq"]).select("unit_id", "seq", "v")
+
+
+@query("feature_rules")
+def feature_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sixteen rules over a frame whose tags all follow from the event's value and type."""
+    tel = telemetry(spark, sf_dir)
+    v = F.col("v")
+    tags = {"tp2": v / 10 + 0.05, "tp3": v / 10, "h1": v / 11, "dv_pressure": v / 100, "reservoirs": v / 10 + F.when(F.col("tag") == "error", 0.5).otherwise(0.0), "oil_temperature": v, "comp": F.col("intake_closed").cast("int"), "dv_eletric": F.col("load_valve").cast("int")}
+    tags |= {"towers": (F.col("seq") % 2).cast("int"), "lps": (F.col("tag") == "error").cast("int"), "oil_level": (F.col("tag") != "signup").cast("int"), "caudal_impulses": (F.col("seq") % 3 == 0).cast("int")}
+    wide = tel.select("unit_id", "seq", "sim_ts", "motor_current", *[c.alias(n) for n, c in tags.items()])
+    out = rules_.evaluate(rules_.feature_frame(wide, gap_s=14400), rules_.registry())
+    return out.where(F.size("rule_ids") > 0).select("unit_id", "seq", F.array_join("rule_ids", ",").alias("rule_ids"))
