@@ -36,6 +36,8 @@ PATTERNS = {
     "female": rf"(?<!\p{{L}}){TITLES_F}{NAME}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Words of which a title must hold one; with a digit or an at sign they are cheap to look for before the patterns are tried.
+TITLE_WORDS = ("Mr", "Ms", "Miss", "Herr", "Frau", "Señor", "Sr", "Monsieur", "Madame", "Mme")
 #: Given names and family names that surrogates of names are drawn from.
 MALE = "Adam Bruno Carl David Edgar Felix Georg Hugo Ivan Jonas Karl Lukas Martin Noah Oscar Paul Rafael Simon Thomas Victor".split()
 FEMALE = "Ada Beatrice Clara Diana Elena Flora Greta Helena Ida Julia Karin Laura Maria Nora Olga Paula Rosa Sofia Tessa Vera".split()
@@ -52,6 +54,14 @@ def _kind(match: Column) -> Column:
     return out
 
 
+def _has(text: Column) -> Column:
+    """Whether a text holds an entity; most texts lack every mark of one and never meet the patterns."""
+    marks = text.rlike("[0-9@]")
+    for word in TITLE_WORDS:
+        marks = marks | text.contains(word)
+    return F.coalesce(marks & text.rlike(ANY), F.lit(False))
+
+
 def _is_number(kind: Column) -> Column:
     return kind.isin("ssn", "phone", "card")
 
@@ -64,7 +74,7 @@ def _canonical(kind: Column, match: Column) -> Column:
 
 def _entities(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Every mention in documents that have any: id, th, pos, match, kind, canon."""
-    hits = docs.where(F.col(text_col).rlike(ANY)).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.posexplode(F.regexp_extract_all(text_col, F.lit(f"({ANY})"), F.lit(1))).alias("pos", "match"))
+    hits = docs.where(_has(F.col(text_col))).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.posexplode(F.regexp_extract_all(text_col, F.lit(f"({ANY})"), F.lit(1))).alias("pos", "match"))
     hits = hits.withColumn("kind", _kind(F.col("match")))
     return hits.withColumn("canon", _canonical(F.col("kind"), F.col("match")))
 
@@ -174,7 +184,7 @@ def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
     per_doc = given.groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("pos", "given"))).alias("_given"))
     per_doc = stash(per_doc.withColumnRenamed("id", "_id").withColumnRenamed("th", "_th"), "given")
     discard(mentions)
-    has = F.coalesce(F.col(text_col).rlike(ANY), F.lit(False))
+    has = _has(F.col(text_col))
     hit = docs.where(has).withColumn("_own", F.xxhash64(text_col)).join(per_doc, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_th")))
     hit = hit.withColumn("_parts", F.split(text_col, ANY, -1))
     text = F.array_join(F.transform("_parts", lambda p, i: F.concat(p, F.coalesce(F.get("_given", i).getField("given"), F.lit("")))), "")
