@@ -124,6 +124,16 @@ def _least(n):
     return F.floor((F.lit(SIMILARITY) * n + 99) / 100)
 
 
+def _reachable(n1: str, place1: str, n2: str, place2: str):
+    """Whether two sets of these sizes can link if their first common token stands at these places of their orders.
+
+    No earlier token is shared, so the intersection is the token itself and what may follow it on
+    the shorter side. A pair that links passes at its first common token, which is one of its lists.
+    """
+    most = 1 + F.least(F.col(n1) - F.col(place1), F.col(n2) - F.col(place2))
+    return (most * (100 + SIMILARITY) >= SIMILARITY * (F.col(n1) + F.col(n2))) & (100 * F.least(n1, n2) >= SIMILARITY * F.greatest(n1, n2))
+
+
 def _runs(batches, keys: list[str]):
     """Arrow batches sorted by the first of ``keys`` as runs: (value, columns as lists), runs across batches joined."""
     held, key = None, None
@@ -329,10 +339,10 @@ class _Search:
         shared = postings.join(counts, "token")
         alone = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("c"))
         rank = F.row_number().over(Window.partitionBy("c").orderBy("df", "token"))
-        prefix = stash(shared.withColumn("place", alone + rank).where(F.col("place") <= F.col("n") - _least(F.col("n")) + 1).select("token", "c", "n"), "prefix")
-        heads = prefix.groupBy("token").agg(F.min(F.struct("n", "c")).alias("h"), F.count(F.lit(1)).alias("k")).where("k > 1").select("token", F.col("h.c").alias("head"))
-        stars = prefix.join(heads, "token").where("c != head").select(F.least("c", "head").alias("a"), F.greatest("c", "head").alias("b")).distinct()
-        stars = stash(self.apart(self.fitting(stars)), "stars")
+        prefix = stash(shared.withColumn("place", alone + rank).where(F.col("place") <= F.col("n") - _least(F.col("n")) + 1).select("token", "c", "n", "place"), "prefix")
+        heads = prefix.groupBy("token").agg(F.min(F.struct("n", "c", "place")).alias("h"), F.count(F.lit(1)).alias("k")).where("k > 1").select("token", F.col("h.c").alias("head"), F.col("h.n").alias("_hn"), F.col("h.place").alias("_hp"))
+        stars = prefix.join(heads, "token").where((F.col("c") != F.col("head")) & _reachable("n", "place", "_hn", "_hp"))
+        stars = stash(self.apart(stars.select(F.least("c", "head").alias("a"), F.greatest("c", "head").alias("b")).distinct()), "stars")
         if not stars.isEmpty():
             self.verify(stars)
         root = self.label.select(F.col("node").alias("c"), "root") if self.label is not None else prefix.select("c", F.lit(None).cast("long").alias("root")).limit(0)
@@ -341,9 +351,9 @@ class _Search:
         left = stash(placed.join(mixed, "token"), "left")
         if left.isEmpty():
             return
-        x = left.select("token", F.col("c").alias("a"), F.col("n").alias("_na"), F.col("root").alias("_ra"))
-        y = left.select("token", F.col("c").alias("b"), F.col("n").alias("_nb"), F.col("root").alias("_rb"))
-        across = x.join(y, "token").where((F.col("_ra") < F.col("_rb")) & (100 * F.least("_na", "_nb") >= SIMILARITY * F.greatest("_na", "_nb")))
+        x = left.select("token", F.col("c").alias("a"), F.col("n").alias("_na"), F.col("root").alias("_ra"), F.col("place").alias("_pa"))
+        y = left.select("token", F.col("c").alias("b"), F.col("n").alias("_nb"), F.col("root").alias("_rb"), F.col("place").alias("_pb"))
+        across = x.join(y, "token").where((F.col("_ra") < F.col("_rb")) & _reachable("_na", "_pa", "_nb", "_pb"))
         across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         across = stash(across.join(stars, ["a", "b"], "left_anti"), "across")
         if not across.isEmpty():
