@@ -1,8 +1,7 @@
 """Fuzzy line deduplication by MinHash, in DataFrame operations only.
 
-A line is the set of its character shingles: eight characters from every word start, five of the
-word and three of the next (eight from every character in scripts without spaces). Its signature comes from one hash of every shingle:
-the hash space is cut into ``BANDS`` ranges, and a band's key is made of the ROWS smallest hashes
+A line is the set of its character shingles: eight characters from every character on; a shorter
+line is one shingle. Its signature comes from one hash of every shingle: the hash space is cut into ``BANDS`` ranges, and a band's key is made of the ROWS smallest hashes
 from the start of its range, so two lines share a key with a probability near the ROWS-th power of
 their Jaccard similarity, and at 0.8 share some key in over 99 of 100 cases.
 
@@ -21,15 +20,13 @@ from pyspark.sql import functions as F
 from .common import discard, stash
 from .components import components
 
-SHINGLE, HEAD, NEXT = 8, 5, 3
+SHINGLE = 8
 SIMILARITY = 80
 BANDS, ROWS = 10, 4
 #: Lines of fewer shingles make keys of two hashes, those of more than FEW - 4 keys of ROWS; in between both.
 FEW, SHORT_ROWS = 20, 2
 #: Lines whose texts may be picked by a broadcast of their places; more are joined by a shuffle.
 BROADCAST_LINES = 300_000
-#: Code points of scripts that are written without spaces: Thai to Burmese, Khmer, kana and Han.
-SPACELESS = r"[\u0E00-\u109F\u1780-\u17FF\u3040-\u9FFF]"
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -40,30 +37,22 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _shingled(lines: DataFrame, line: str, into: str) -> DataFrame:
-    """Add the sorted shingle hashes of column ``line``, repeats included.
-
-    A word's shingle is its first ``HEAD`` characters and the next word's first ``NEXT``; in a spaceless
-    script it is ``SHINGLE`` characters from every one.
-    """
-    # such scripts take three bytes a character: most lines are settled by their lengths alone
-    spaceless = (F.octet_length(line) * 2 > F.length(line) * 3) & F.col(line).rlike(SPACELESS)
-    lines = lines.withColumn("_dense", spaceless)
-    lines = lines.withColumn("_w", F.when(F.col("_dense"), F.split(line, "")).otherwise(F.split(line, " ")))
-    after = lambda i, k: F.get("_w", i + k)
-    dense = lambda x, i: F.xxhash64(F.concat_ws("", x, *[after(i, k) for k in range(1, SHINGLE)]))
-    spaced = lambda x, i: F.xxhash64(F.substring(x, 1, HEAD), F.substring(after(i, 1), 1, NEXT))
-    hashes = F.when(F.col("_dense"), F.transform("_w", dense)).otherwise(F.transform("_w", spaced))
-    return lines.withColumn(into, F.sort_array(hashes)).drop("_w", "_dense")
+    """Add the sorted shingle hashes of column ``line``, repeats included."""
+    # four bytes a character: a shingle is a slice of bytes, found without counting characters
+    lines = lines.withColumn("_u", F.encode(line, "UTF-32"))
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length("_u") - 4 * SHINGLE + 1), F.lit(4))
+    return lines.withColumn(into, F.sort_array(F.transform(starts, lambda i: F.xxhash64(F.substring("_u", i, F.lit(4 * SHINGLE)))))).drop("_u")
 
 
 def _banded(lines: DataFrame) -> DataFrame:
     """Add the band keys of the sorted hashes in ``s``."""
-    # the top 31 bits of the hash, from below, as a part of BANDS
-    part = lambda x: F.shiftright((F.shiftright(x, 33) + F.lit(1 << 30)) * BANDS, 31)
-    lines = lines.withColumn("_p", F.transform("s", part))
-    starts = F.transform(F.array(*[F.lit(b).cast("long") for b in range(BANDS)]), lambda b: F.array_position("_p", b))
-    # read twice, or the planner would move the parts into the lambda and compute them once a band
-    lines = lines.withColumn("_at", F.when(F.size("_p") > 0, F.filter(starts, lambda j: j > 0)))
+    # sorted together with the ranges' lower bounds, a range's first hash follows its bound
+    bounds = [-(1 << 63) + -(-b * (1 << 64) // BANDS) for b in range(1, BANDS)]
+    lines = lines.withColumn("_m", F.sort_array(F.concat("s", F.array(*[F.lit(b).cast("long") for b in bounds]))))
+    begin = [F.lit(1).cast("long"), *[F.array_position("_m", F.lit(b).cast("long")) - i for i, b in enumerate(bounds)], (F.size("s") + 1).cast("long")]
+    lines = lines.withColumn("_b", F.array(*begin))
+    # only ranges that hold a hash
+    lines = lines.withColumn("_at", F.array_compact(F.array(*[F.when(F.get("_b", F.lit(b)) < F.get("_b", F.lit(b + 1)), F.get("_b", F.lit(b))) for b in range(BANDS)])))
     n = F.size("s")
 
     def keys(rows: int) -> Column:
@@ -72,7 +61,7 @@ def _banded(lines: DataFrame) -> DataFrame:
 
     many = F.when(n > FEW - 4, keys(ROWS)).otherwise(F.array().cast("array<bigint>"))
     few = F.when(n < FEW, keys(SHORT_ROWS)).otherwise(F.array().cast("array<bigint>"))
-    return lines.withColumn("bands", F.array_distinct(F.concat(many, few))).drop("_p", "_at")
+    return lines.withColumn("bands", F.array_distinct(F.concat(many, few))).drop("_m", "_b", "_at")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:

@@ -94,6 +94,12 @@ def test_lines(spark):
     assert by[6].n_dropped == 0
 
 
+def test_lines_that_differ_after_a_words_start_stay(spark):
+    apart = ["https://a.com/x", "https://b.org/y", "international", "internet", "2024-01-15 10:00:01 INFO started", "2024-01-17 10:00:59 INFO started", "Order 1000001 shipped", "Order 1000002 shipped", "Contact information", "Contact informal", "ab", "ac", "\u65e5\u672c\u8a9e", "\u65e5\u672c\u4eba", "\U0001f600 a", "\U0001f601 a"]
+    got = dedup_lines(spark.createDataFrame(list(enumerate(apart)), DOCS)).collect()
+    assert sorted(r.text for r in got) == sorted(apart) and all(r.n_dropped == 0 for r in got)
+
+
 def test_packing_is_whole_and_tight(spark):
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choices(["alpha", "beta", "gamma  delta", "ü", "\n\nx", "<|endoftext|>"], k=rng.choice([1, 20, 300, 900, 4000])))) for i in range(120)] + [(500, None), (501, ""), (3, "twice")]
