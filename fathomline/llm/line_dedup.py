@@ -6,9 +6,10 @@ from the start of its range, so two lines share a key with a probability near th
 their Jaccard similarity, and at 0.8 share some key in over 99 of 100 cases.
 
 Repeated lines are folded into one row with their first place before anything is shuffled by band.
-Within a band's bucket each line is compared with the bucket's head and with its neighbour, never
-with all; proposals are verified by exact Jaccard similarity of the shingle sets, and verified ones
-joined by distributed union-find. Of each component the line with the smallest (id, place) stays,
+Within a band's bucket each line is first compared with the bucket's head and with its neighbour;
+proposals are verified by exact Jaccard similarity of the shingle sets, and verified ones joined by
+distributed union-find. Buckets that still hold several components are then compared across them,
+every pair whose sizes allow the similarity, so no pair of a bucket is left out. Of each component the line with the smallest (id, place) stays,
 in every document the others go.
 """
 
@@ -68,13 +69,33 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) whose shingle sets reach the similarity; ``sets`` has (k, s), without repeats in s."""
     one = sets.select(F.col("k").alias("a"), F.col("s").alias("x"))
     two = sets.select(F.col("k").alias("b"), F.col("s").alias("y"))
-    # sets whose sizes differ too much cannot reach it, however they overlap
-    sizes = 100 * F.least(F.size("x"), F.size("y")) >= SIMILARITY * F.greatest(F.size("x"), F.size("y"))
-    both = pairs.join(one, "a").join(two, "b").where(sizes)
+    both = pairs.join(one, "a").join(two, "b").where(_alike(F.size("x"), F.size("y")))
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(100 * shared >= SIMILARITY * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
+def _alike(x: Column, y: Column) -> Column:
+    """Whether sets of these sizes can reach the similarity, however they overlap."""
+    return 100 * F.least(x, y) >= SIMILARITY * F.greatest(x, y)
+
+
+def _across(buckets: DataFrame, pairs: DataFrame, sets: DataFrame, near: DataFrame | None) -> DataFrame:
+    """Pairs (a, b) of a bucket that ``pairs`` lacks, in different components and of sizes that allow the similarity."""
+    # of up to three lines the head and the neighbours are all the pairs
+    crowded = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("_n")).where("_n > 3").select("band")
+    placed = buckets.join(crowded, "band").join(sets.select("k", "m"), "k")
+    root = near.select(F.col("node").alias("k"), "root") if near is not None else placed.select("k", F.col("k").alias("root")).limit(0)
+    placed = placed.join(root, "k", "left").withColumn("root", F.coalesce("root", "k"))
+    mixed = placed.groupBy("band").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo != _hi").select("band")
+    left = stash(placed.join(mixed, "band"), "mixed")
+    x = left.select("band", F.col("k").alias("a"), F.col("m").alias("_ma"), F.col("root").alias("_ra"))
+    y = left.select("band", F.col("k").alias("b"), F.col("m").alias("_mb"), F.col("root").alias("_rb"))
+    both = x.join(y, "band").where((F.col("a") < F.col("b")) & (F.col("_ra") != F.col("_rb")) & _alike(F.col("_ma"), F.col("_mb")))
+    out = stash(both.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "across")
+    discard(left)
+    return out
+
+
 def _near_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Distinct lines that occur twice or have a near line: h1, h2 and the place (id, th, pos) that is kept."""
     lines = _lines(docs, id_col, text_col)
@@ -82,7 +103,8 @@ def _near_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     distinct = signed.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
     distinct = stash(distinct.withColumn("k", F.monotonically_increasing_id()), "lines")
     bucket = Window.partitionBy("band").orderBy("k")
-    linked = distinct.select("k", F.explode("bands").alias("band")).withColumn("head", F.first("k").over(bucket)).withColumn("prev", F.lag("k").over(bucket)).where("head != k")
+    buckets = distinct.select("k", F.explode("bands").alias("band"))
+    linked = buckets.withColumn("head", F.first("k").over(bucket)).withColumn("prev", F.lag("k").over(bucket)).where("head != k")
     heads = linked.select(F.col("head").alias("a"), F.col("k").alias("b"))
     pairs = stash(heads.unionByName(linked.select(F.col("prev").alias("a"), F.col("k").alias("b"))).distinct(), "proposed")
     near = None
@@ -93,11 +115,16 @@ def _near_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         texts = lines.alias("l").join((F.broadcast(needed) if few else needed).alias("p"), place[0] & place[1] & place[2])
         # rows that repeat an id and text repeat its places
         sets = _shingled(texts.select("k", "line").dropDuplicates(["k"]), "line", "s").select("k", F.array_distinct("s").alias("s"))
-        sets = stash(sets, "sets")
+        sets = stash(sets.withColumn("m", F.size("s")), "sets")
         edges = stash(_verified(pairs, sets), "near")
-        discard(sets, needed)
         if not edges.isEmpty():
             near = components(edges)
+        across = _across(buckets, pairs, sets, near)
+        if not across.isEmpty():
+            more = stash(_verified(across, sets), "near")
+            if not more.isEmpty():
+                near = components(edges.unionByName(more))
+        discard(sets, needed)
     if near is None:
         return stash(distinct.where("n > 1").select("h1", "h2", F.col("first").alias("kept")), "kept")
     member = distinct.select("k", "first").join(near.withColumnRenamed("node", "k"), "k")

@@ -100,6 +100,17 @@ def test_lines_that_differ_after_a_words_start_stay(spark):
     assert sorted(r.text for r in got) == sorted(apart) and all(r.n_dropped == 0 for r in got)
 
 
+def test_no_pair_of_a_crowded_bucket_is_left_out(spark, monkeypatch):
+    from fathomline.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "_banded", lambda lines: lines.withColumn("bands", F.array(F.lit(1).cast("long"))))
+    rng = random.Random(4)
+    lines = ["".join(rng.choices("abcdefghij ", k=120)).strip() for _ in range(15)]
+    rows = [(i + 100 * j, line + end) for i, line in enumerate(lines) for j, end in enumerate(["", " x", " yz"])]
+    got = dedup_lines(spark.createDataFrame(rows, DOCS)).collect()
+    assert {r.doc_id for r in got if r.text} == set(range(15))
+
+
 def test_packing_is_whole_and_tight(spark):
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choices(["alpha", "beta", "gamma  delta", "ü", "\n\nx", "<|endoftext|>"], k=rng.choice([1, 20, 300, 900, 4000])))) for i in range(120)] + [(500, None), (501, ""), (3, "twice")]
