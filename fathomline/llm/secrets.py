@@ -2,9 +2,14 @@
 
 A text is scanned by three patterns. Then encoded stretches in it (percent escapes, ``\\u``
 escapes, base64, and zlib or gzip data inside base64) are decoded, every decoded layer is
-scanned and searched for encoded stretches again, until no layer yields a new one. A digest of
-each layer is remembered on the way, so a layer that decodes to an earlier one ends the search.
-Spans found in a layer are mapped back to code points of the original text.
+scanned and searched for encoded stretches again, until no layer yields another. Digests along the
+way to a layer are remembered, so a layer that decodes to one it came from ends the search; a layer
+met at several places is read once and its spans are mapped to each of them. Spans found in a layer
+are mapped back to code points of the original text.
+
+Compressed data is unfolded as a stream over all members and levels. Its text is scanned in pieces
+that end where no pattern or encoded stretch can reach over, so memory holds a piece of PIECE bytes,
+or the longest run without such a place.
 
 Rows are independent: one Arrow pass without a shuffle, whatever key or source is hot.
 """
@@ -12,12 +17,13 @@ Rows are independent: one Arrow pass without a shuffle, whatever key or source i
 from __future__ import annotations
 
 import base64
-import binascii
+import codecs
 import hashlib
 import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,8 +40,18 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 KEYWORDS = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
-#: Bytes that one compressed stretch may unfold to; a longer one is cut there and the row is marked.
-UNFOLD_LIMIT = 16 << 20
+#: Base64 over several lines, and what is joined away there.
+SEPARATED = r"[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]"
+WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{16,}}+(?:{SEPARATED}{{16,}}+)*+(?:{SEPARATED}++)?+={{0,2}}")
+BLANKS = re.compile(r"[ \t\r\n]+")
+CONTROLS = re.compile(r"[\x00-\x08\x0e-\x1f]")
+#: Stretches of text in bytes that were decoded with replacement.
+READABLE = re.compile(r"[^\x00-\x08\x0e-\x1f\ufffd]{8,}")
+MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
+#: Characters of which no pattern and no encoded stretch has any: a text may be cut behind one.
+BREAK = re.compile(r"[^A-Za-z0-9_\"' :=+/.%\\\t\r\n-]")
+#: Bytes unfolded at once.
+PIECE = 1 << 20
 
 Span = tuple[int, int, int]  # start, end, kind
 
@@ -90,71 +106,192 @@ def _back(position: int, outs: list[int], ins: list[int], end: bool) -> int:
     return ins[i] + position - outs[i]
 
 
-def _binary(token: str) -> tuple[str | None, bool]:
-    """What a base64 stretch holds as text, decompressed where it is zlib or gzip; and whether it was cut."""
-    body = token.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None, False
+def _packed(head: bytes) -> bool:
+    return head[:2] == b"\x1f\x8b" or (len(head) > 2 and head[0] & 15 == 8 and (head[0] * 256 + head[1]) % 31 == 0)
+
+
+class _Damaged(Exception):
+    """A compressed stream that ends early or does not unfold."""
+
+
+def _inflated(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """All members of a zlib or gzip stream, one after another, and what follows them as it is."""
+    unpacker, plain = zlib.decompressobj(47), False
+    for chunk in chunks:
+        while chunk:
+            if plain:
+                yield chunk
+                break
+            try:
+                out = unpacker.decompress(chunk, PIECE)
+            except zlib.error as e:
+                raise _Damaged from e
+            if out:
+                yield out
+            chunk = unpacker.unused_data if unpacker.eof else unpacker.unconsumed_tail
+            if unpacker.eof and chunk:
+                plain = not _packed(chunk[:3])
+                unpacker = zlib.decompressobj(47)
+            elif not chunk:  # what is held back beyond the bound
+                while more := unpacker.decompress(b"", PIECE):
+                    yield more
+    if not plain and not unpacker.eof:
+        raise _Damaged
+
+
+def _unfolded(chunks: Iterator[bytes], above: frozenset[bytes] = frozenset()) -> Iterator[bytes]:
+    """The stream with every level of compression taken off; one that unfolds to a level above it ends."""
+    head = b""
+    for chunk in chunks:
+        head += chunk
+        if len(head) >= PIECE:
+            break
+    if not _packed(head[:3]):
+        yield head
+        yield from chunks
+        return
+    mark = hashlib.sha256(head).digest()
+    if mark in above:
+        return
+    made = False
     try:
-        raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return None, False
-    cut = False
-    if raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] * 256 + raw[1]) % 31 == 0):
+        for out in _unfolded(_inflated(chain([head], chunks)), above | {mark}):
+            made = made or bool(out)
+            yield out
+    except _Damaged:
+        if made:
+            raise
+        yield head  # text may begin like a compressed stream
+        yield from chunks
+
+
+def _pieces_of(chunks: Iterator[bytes], damage: list[bool]) -> Iterator[str]:
+    """The text of a stream in pieces that no pattern reaches over; damage is noted."""
+    decoder, held = codecs.getincrementaldecoder("utf-8")("replace"), []
+    try:
+        for chunk in chunks:
+            text = decoder.decode(chunk)
+            at = next((k + 1 for k in range(len(text) - 1, -1, -1) if BREAK.match(text, k)), 0)
+            if at:
+                yield "".join([*held, text[:at]])
+                held = []
+            held.append(text[at:])
+    except _Damaged:
+        damage.append(True)
+    held.append(decoder.decode(b"", True))
+    if any(held):
+        yield "".join(held)
+
+
+def _raw(token: str) -> bytes:
+    body = token.rstrip("=").replace("-", "+").replace("_", "/")
+    body = body[: len(body) - (len(body) % 4 == 1)]
+    return base64.b64decode(body + "=" * (-len(body) % 4))
+
+
+def _binary(token: str, damage: list[bool]) -> Iterator[tuple[int, int, Iterator[str]]]:
+    """Stretches of a base64 run that hold text or compressed text: start, end, the pieces of the text.
+
+    The run as a whole, or else what can be read in it from each of the four alignments.
+    """
+    whole = len(token.rstrip("=")) % 4 != 1
+    raw = _raw(token)
+    if whole and _packed(raw[:3]):
+        first = zlib.decompressobj(47)
         try:
-            unpacker = zlib.decompressobj(47)
-            raw = unpacker.decompress(raw, UNFOLD_LIMIT)
-            cut = bool(unpacker.unconsumed_tail)
+            if first.decompress(raw, 64):
+                yield 0, len(token), _pieces_of(_unfolded(iter([raw])), damage)
+                return
         except zlib.error:
-            return None, False
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None, cut
-    return (text if text.isprintable() or not re.search(r"[\x00-\x08\x0e-\x1f]", text) else None), cut
+            pass
+    if whole:
+        try:
+            text = raw.decode("utf-8")
+        except UnicodeDecodeError:
+            text = None
+        if text and not CONTROLS.search(text):
+            yield 0, len(token), iter([text])
+            return
+    for skip in range(4):
+        raw = _raw(token[skip:])
+        place = lambda b0, b1: (skip + b0 // 3 * 4, min(len(token), skip + -(-b1 // 3) * 4))  # noqa: E731, B023
+        for m in MAGIC.finditer(raw):
+            try:
+                if zlib.decompressobj(47).decompress(raw[m.start() : m.start() + 4096], 64):
+                    yield *place(m.start(), len(raw)), _pieces_of(_unfolded(iter([raw[m.start() :]])), damage)
+            except zlib.error:
+                continue
+        text = raw.decode("utf-8", "surrogateescape")
+        text = re.sub("[\ud800-\udfff]", "\ufffd", text)
+        at = done = 0
+        for m in READABLE.finditer(text):
+            at += len(text[done : m.start()].replace("\ufffd", "?").encode())
+            size = len(m[0].encode())
+            yield *place(at, at + size), iter([m[0]])
+            at, done = at + size, m.end()
+
+
+def _layers(layer: str, damage: list[bool]) -> Iterator[tuple[str, tuple]]:
+    """The layers in a layer, each with the step back: a pair of position lists, or the stretch it is decoded from."""
+    for m in WRAPPED.finditer(layer):
+        if "\n" not in m[0]:
+            continue
+        for _, _, pieces in _binary(BLANKS.sub("", m[0]), damage):
+            yield from ((piece, (m.start(), m.end(), None)) for piece in pieces)
+    for m in BASE64.finditer(layer):
+        for start, end, pieces in _binary(m[0], damage):
+            yield from ((piece, (m.start() + start, m.start() + end, None)) for piece in pieces)
+    last = [_unescaped(layer)] if "%" in layer or "\\" in layer else [None]
+    layer = ""  # a long row of escaped escapes keeps no text of the layers above
+    if last[0]:
+        yield last[0][0], last.pop()[1:]
 
 
 def deep_scan(text: str) -> tuple[list[Span], list[Span], int, bool]:
-    """Base spans, all spans, the number of layers decoded, and whether a layer was cut.
+    """Base spans, all spans, the number of distinct layers decoded, and whether compressed data was damaged.
 
-    The worklist holds layers with a way to map their positions back: a pair of position lists
-    and the layer they lead to, or a fixed span for stretches that decode as a whole.
+    A frame for each layer on the way: its digest, spans, inner layers, the step back to the layer
+    above, and whether an inner one was left out because it is on the way itself.
     """
+    digest = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).digest()
     base = scan(text)
-    every = set(base)
-    seen = {hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()}
-    work: list[tuple[str, list]] = [(text, [])]
-    layers, cut = 0, False
-
-    def origin(start: int, end: int, chain: list) -> tuple[int, int]:
-        for step in reversed(chain):
-            if len(step) == 3:  # a whole stretch of the layer above
-                start, end = step[0], step[1]
-            else:
-                start, end = _back(start, *step, False), _back(end, *step, True)
-        return start, end
-
-    def push(layer: str, chain: list) -> None:
-        nonlocal layers
-        mark = hashlib.sha256(layer.encode("utf-8", "surrogatepass")).digest()
-        if mark in seen:
-            return
-        seen.add(mark)
-        layers += 1
-        for s, e, k in scan(layer):
-            every.add((*origin(s, e, chain), k))
-        work.append((layer, chain))
-
-    while work:
-        layer, chain = work.pop()
-        if ("%" in layer or "\\" in layer) and (un := _unescaped(layer)):
-            push(un[0], [*chain, (un[1], un[2])])
-        for m in BASE64.finditer(layer):
-            inner, was_cut = _binary(m[0])
-            cut |= was_cut
-            if inner:
-                push(inner, [*chain, (m.start(), m.end(), None)])
-    return base, sorted(every), layers, cut
+    damage: list[bool] = []
+    top = digest(text)
+    known: dict[bytes, set[Span]] = {}
+    met = {top}
+    way = {top}
+    frames: list[list] = [[top, set(base), _layers(text, damage), None, False]]
+    while True:
+        mark, spans, inner, step, looped = frames[-1]
+        found = next(inner, None)
+        if found is None:
+            frames.pop()
+            way.discard(mark)
+            if not looped:
+                known[mark] = spans
+            if not frames:
+                break
+            frames[-1][1] |= _mapped(spans, step)
+            frames[-1][4] |= looped
+            continue
+        layer, back = found
+        mark = digest(layer)
+        if mark in way:
+            frames[-1][4] = True
+        elif mark in known:
+            spans |= _mapped(known[mark], back)
+        else:
+            met.add(mark)
+            way.add(mark)
+            frames.append([mark, set(scan(layer)), _layers(layer, damage), back, False])
+    return base, sorted(spans), len(met) - 1, bool(damage)
+
+
+def _mapped(spans: set[Span], step: tuple) -> set[Span]:
+    """Spans of a layer as spans of the layer above."""
+    if len(step) == 3:  # a whole stretch of the layer above
+        return {(step[0], step[1], k) for _, _, k in spans}
+    return {(_back(s, *step, False), _back(e, *step, True), k) for s, e, k in spans}
 
 
 def render(spans: list[Span]) -> str:
