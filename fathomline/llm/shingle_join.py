@@ -397,7 +397,19 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """The rows of ``docs`` that are the smallest id of their component; rows that repeat that id stay with it."""
-    found = link_documents(docs, id_col, text_col, words)
-    dropped = found.where(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
-    return docs.join(dropped, id_col, "left_anti")
+    """One row of ``docs`` of each component: that with the smallest (id, digest of its text), null ids last.
+
+    Rows are told apart by id and text, so rows that repeat an id are judged one by one. Of equal
+    rows in a component one stays; texts without shingles all stay.
+    """
+    digests = F.xxhash64(text_col), F.xxhash64(F.lit(7), F.col(text_col))
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), digests[0].alias("t1"), digests[1].alias("t2"))
+    found = link_documents(docs.select(key.alias("_key"), F.col(text_col).alias("_text")), "_key", "_text", words).where("n_shingles > 0")
+    counted = found.groupBy("_key", "component_id").agg(F.count(F.lit(1)).alias("_n"))
+    marks = stash(counted.withColumn("_gone", ~F.col("_key").eqNullSafe(F.col("component_id"))).where("_gone OR _n > 1").select("_key.*", "_gone"), "marks")
+    marks = marks.select(F.col("id").alias("_id"), F.col("t1").alias("_m1"), F.col("t2").alias("_m2"), "_gone")
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_t1") == F.col("_m1")) & (F.col("_t2") == F.col("_m2"))
+    keyed = docs.withColumn("_t1", digests[0]).withColumn("_t2", digests[1])
+    single = keyed.join(marks, same, "left_anti")
+    repeated = keyed.join(marks.where("not _gone"), same, "left_semi").dropDuplicates([id_col, "_t1", "_t2"])
+    return single.unionByName(repeated).select(*docs.columns)

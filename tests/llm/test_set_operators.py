@@ -67,6 +67,16 @@ def test_links_equal_brute_force(spark, seed):
     assert kept == {c for _, _, c in brute_components(rows)}
 
 
+def test_keep_one_judges_rows_not_ids(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    near, clean, other = text.replace("w59", "z"), " ".join(f"c{i}" for i in range(40)), " ".join(f"n{i}" for i in range(60))
+    rows = [(1, text), (5, near), (5, clean), (1, text), (None, other), (None, other.replace("n59", "z")), (None, other), (7, None), (7, None), (None, clean + " and quite a lot more words than the others have in all")]
+    kept = Counter((r.doc_id, r.text) for r in keep_one(spark.createDataFrame(rows, DOCS)).collect())
+    assert kept.pop((7, None)) == 2 and set(kept.values()) == {1}
+    assert {k for k in kept if k[0] is not None} == {(1, text), (5, clean)}
+    assert sum(t.startswith("n0 ") for _, t in kept) == 1 and sum(t.startswith("c0 ") for _, t in kept) == 2
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     assert link_documents(none).count() == 0
