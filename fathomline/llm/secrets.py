@@ -114,6 +114,11 @@ class _Damaged(Exception):
     """A compressed stream that ends early or does not unfold."""
 
 
+def _broken(damage: _Damaged) -> Iterator[bytes]:
+    raise damage
+    yield b""
+
+
 def _inflated(chunks: Iterator[bytes]) -> Iterator[bytes]:
     """All members of a zlib or gzip stream, one after another, and what follows them as it is."""
     unpacker, plain = zlib.decompressobj(47), False
@@ -133,8 +138,11 @@ def _inflated(chunks: Iterator[bytes]) -> Iterator[bytes]:
                 plain = not _packed(chunk[:3])
                 unpacker = zlib.decompressobj(47)
             elif not chunk:  # what is held back beyond the bound
-                while more := unpacker.decompress(b"", PIECE):
-                    yield more
+                try:
+                    while more := unpacker.decompress(b"", PIECE):
+                        yield more
+                except zlib.error as e:
+                    raise _Damaged from e
     if not plain and not unpacker.eof:
         raise _Damaged
 
@@ -142,10 +150,15 @@ def _inflated(chunks: Iterator[bytes]) -> Iterator[bytes]:
 def _unfolded(chunks: Iterator[bytes], above: frozenset[bytes] = frozenset()) -> Iterator[bytes]:
     """The stream with every level of compression taken off; one that unfolds to a level above it ends."""
     head = b""
-    for chunk in chunks:
-        head += chunk
-        if len(head) >= PIECE:
-            break
+    try:
+        for chunk in chunks:
+            head += chunk
+            if len(head) >= PIECE:
+                break
+    except _Damaged as e:
+        if not head:
+            raise
+        chunks = _broken(e)  # what came before the damage is read first
     if not _packed(head[:3]):
         yield head
         yield from chunks

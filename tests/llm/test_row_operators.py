@@ -101,6 +101,8 @@ def test_secrets_at_every_place_member_level_and_alignment():
     assert kinds(enc(gzip.compress(late))) == {0, 1}
     assert kinds(enc(gzip.compress(zlib.compress(gzip.compress(plain.encode()))))) == {0, 1}
     assert kinds(enc(gzip.compress(b"first") + gzip.compress(plain.encode()))) == {0, 1}
+    torn = deep_scan(enc(gzip.compress((plain + ", " + "".join(map(str, range(900)))).encode())[:-20]))
+    assert {k for _, _, k in torn[1]} >= {0, 1} and torn[3]
     wrapped = "\n".join(re.findall(".{1,64}", enc(gzip.compress(plain.encode() + bytes(range(32, 127)) * 2))))
     assert kinds(wrapped) == {0, 1} and kinds("some-path/x1/" + b64) == {0, 1} and kinds("hb" + plain) == kinds(enc(b"hb " + plain.encode())) == {0, 1}
 
