@@ -4,19 +4,24 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Only where the setting is absent (tests, a single machine) is a local folder made.
+    Only on a single machine (a local master, as in tests) is a local folder made where the setting
+    is absent; a cluster without it has no folder that every executor sees, which is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -72,6 +77,27 @@ def ddl_plus(df: DataFrame, more: str) -> str:
     return StructType([*df.schema.fields, *extra.fields])
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once a row, however often ``use`` names it.
+
+    A lambda over an array of one element binds it; a plain column would be put in place at every
+    mention, inside inner lambdas once an element.
+    """
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` doesn't have, upper and lower case taken as equal."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def without(df: DataFrame, names: list[str], keep: list[str]) -> DataFrame:
     """Drop columns an operator is about to write, so that clashing names are replaced."""
     return df.drop(*[n for n in names if n not in keep])
