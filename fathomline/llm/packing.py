@@ -1,47 +1,41 @@
-"""Best-fit packing of token pieces into sequences by bulk-synchronous supersteps.
-
-Documents are tokenised once; longer ones are cut into full pieces. Then, band by band from long
-to short, supersteps run until every piece has a place:
-
-1. pieces and gaps (sequences with room) are sorted by size: a row's place is its size class and
-   its rank in that class, found by salted window ranks, so that a length which a third of all
-   documents share is ranked by many tasks;
-2. a successor sweep runs down the size classes and gives each piece the smallest gap that is
-   left and fits. A gap that surely holds several pieces of the band offers several slots. There
-   are at most ``SIZE`` classes of either kind whatever the corpus holds, so what the sweep needs
-   from the cluster is one count a class, and what it gives back is a list of runs: "pieces of
-   length l with ranks a to b go to gaps of size g, slots c to d";
-3. pieces and gaps meet by an equi-join on size class and rank, which is what settles conflicts:
-   a slot has one rank and so one taker;
-4. gaps shrink by what they took, new sequences are opened for what found none, and the next
-   superstep begins.
-
-No step sorts on one task, and nothing but class counts passes through the driver.
+"""Best-fit packing of token pieces into sequences by bulk-synchronous supersteps over size classes.
+
+Documents are tokenised once; longer ones are cut into full pieces. Then
+
+1. pieces are range-sorted by length; a piece's place is its length and its rank among pieces of that
+   length, from its row in its range and the counts of the ranges before. A length that a third of
+   all documents share is split over ranges like any other;
+2. supersteps run down the lengths. Gaps (sequences with room) are kept in order of size, as intervals
+   of sequences with equal room. A step's successor sweep gives all pieces of its length the smallest
+   gaps that hold them, as many to a gap as go in; ranks decide which piece gets which place, so
+   none is given twice. The gaps shrink by what they took, new sequences are opened for what found
+   none, and the next step begins;
+3. every piece looks its place up by length and rank: a pass without a shuffle.
+
+A step is exact best fit for all pieces of one length at once, so it needs no more of the cluster than
+counts: there are at most ``SIZE`` lengths, and an interval that takes pieces loses at least half of
+its room, so that the runs ("ranks a to b of length l go to sequences from s on, k to each") are
+bounded by the sequence size, not by the corpus. Only counts by range and length reach the driver,
+and only runs go back.
 """
 
 from __future__ import annotations
 
-import math
+import heapq
 import zlib
-from collections import Counter
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, sliced, stash
+from .common import sliced, stash
 
 SIZE = 2048
 END = (0).to_bytes(4, "little")
 SPECIAL = "<|endoftext|>"
 #: Chunks a worker remembers the ids of; beyond it the memory starts anew.
 REMEMBERED = 300_000
-#: Rows of one size class and salt that one window task ranks, about.
-PER_SALT = 250_000
-#: The bands' upper ends as parts of a sequence: of a band's longest pieces so many fill one.
-PARTS = (2, 3, 4, 5, 6, 8, 12, 16, 32, 64, 128, 256, 512, 1024, 2048)
-#: Supersteps of a band that open only as many sequences as its tokens fill; then as many as its pieces need.
-TIGHT_STEPS = 3
 
 _state: dict = {}
 
@@ -133,97 +127,52 @@ def cut(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def sweep(pieces: dict[int, int], gaps: dict[int, int], band: int) -> tuple[list[tuple], Counter, int]:
-    """One successor sweep over size classes.
+def sweep(lengths: dict[int, int], size: int = SIZE) -> list[tuple[int, int, int, int, int]]:
+    """All supersteps of a best-fit packing of so many pieces of each length into sequences of ``size``.
 
-    ``pieces`` and ``gaps`` count rows by size. Longest pieces first, each takes the smallest gap
-    left that holds it; a gap of g has max(1, g // band) slots. Returns the runs (length, first
-    rank, ranks, gap, first slot), the pieces without a gap by length, and how many were placed.
+    Returns runs (length, first rank, first sequence, offset, pieces a sequence): the pieces of that
+    length from that rank on go to that sequence and those after it, so many to each, behind what
+    is in them up to the offset. A length's next run starts where the pieces of this one end.
     """
-    runs, left, placed = [], Counter(), 0
-    stack: list[list[int]] = []  # [gap, slots left], smallest gap on top
-    waiting = sorted(gaps)
-    for length in sorted(pieces, reverse=True):
-        while waiting and waiting[-1] >= length:
-            g = waiting.pop()
-            stack.append([g, gaps[g] * max(1, g // band)])
-        rank, todo = 0, pieces[length]
-        while todo and stack:
-            top = stack[-1]
-            n = min(todo, top[1])
-            runs.append((length, rank, n, top[0], top[1] - n))
-            rank, todo, placed = rank + n, todo - n, placed + n
-            top[1] -= n
-            if not top[1]:
-                stack.pop()
-        if todo:
-            left[length] = todo
-    return runs, left, placed
-
-
-def _ranked_by(df: DataFrame, size: str, key: str, rows: int) -> DataFrame:
-    """``df`` with rank: 0, 1, ... among rows of equal ``size``; no task ranks much more than ``PER_SALT`` rows of a class."""
-    salts = -(-rows // PER_SALT)
-    df = df.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(max(1, salts))))
-    df = df.withColumn("rank", F.row_number().over(Window.partitionBy(size, "_salt").orderBy(key)) - 1)
-    if salts <= 1:  # a single salt has nothing before it
-        return df.drop("_salt")
-    before = Window.partitionBy(size).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = df.groupBy(size, "_salt").agg(F.count(F.lit(1)).alias("_n")).select(size, "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return df.join(offsets, [size, "_salt"]).withColumn("rank", F.col("rank") + F.col("_before")).drop("_salt", "_before")
-
-
-def _counts(df: DataFrame, size: str) -> dict[int, int]:
-    """Rows by size; at most ``SIZE`` classes."""
-    return {int(r[0]): int(r[1]) for r in df.groupBy(size).count().collect()}
-
-
-def assign(pieces: DataFrame, size: int = SIZE) -> list[DataFrame]:
-    """Stashed tables (uid, bin, length) that place every row of ``pieces`` (uid, length); length <= ``size``."""
-    spark = pieces.sparkSession
-    placements: list[DataFrame] = []
-    #: Full pieces, and pieces of over half a sequence, of which no two share one: each opens a sequence.
-    large = pieces.where(F.col("length") > size // 2).select("uid", F.col("uid").alias("bin"), "length")
-    placements.append(large)
-    gaps = large.where(F.col("length") < size).select("bin", (F.lit(size) - F.col("length")).alias("gap"))
-    lengths = _counts(pieces, "length")
+    runs: list[tuple[int, int, int, int, int]] = []
+    gaps: dict[int, list[tuple[int, int]]] = {}  # room: intervals (first sequence, sequences)
+    order: list[int] = []  # rooms as a heap, each once
     opened = 0
-    old: list[DataFrame] = []
-    ends = [e for e in dict.fromkeys(size // k for k in PARTS) if e]
-    for upper, lower in zip(ends, [*ends[1:], 0]):
-        todo = {n: c for n, c in lengths.items() if lower < n <= upper}
-        rest = pieces.where((F.col("length") > lower) & (F.col("length") <= upper)).select("uid", "length")
-        step = 0
+
+    def free(room: int, first: int, n: int) -> None:
+        if room and n:
+            if room not in gaps:
+                gaps[room] = []
+                heapq.heappush(order, room)
+            gaps[room].append((first, n))
+
+    for length in sorted(lengths, reverse=True):
+        rank, todo = 0, lengths[length]
+        small: list[int] = []  # rooms that no piece of this length fits, for the steps to come
         while todo:
-            upper = max(todo)
-            room = _counts(gaps.where(F.col("gap") > lower), "gap")
-            runs, left, placed = sweep(todo, room, upper)
-            if left and (step or not placed):
-                fill = sum(n * c for n, c in left.items()) / size if step <= TIGHT_STEPS and upper < size // 6 else sum(left.values()) / (size // upper)
-                new = max(1, math.ceil(fill))
-                fresh = spark.range(opened + 1, opened + new + 1).select((-F.col("id")).alias("bin"), F.lit(size).cast("long").alias("gap"))
-                opened += new
-                gaps = gaps.unionByName(fresh)
-                room[size] = room.get(size, 0) + new
-                runs, left, placed = sweep(todo, room, upper)
-            step += 1
-            plan = spark.createDataFrame(runs, "length long, first long, n long, gap long, slot long").withColumn("slots", F.greatest(F.lit(1).cast("long"), F.floor(F.col("gap") / upper)))
-            used = sorted({r[3] for r in runs})
-            wanted = _ranked_by(rest, "length", "uid", sum(todo.values())).alias("p").join(
-                F.broadcast(plan.alias("r")), (F.col("p.length") == F.col("r.length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n")), "left"
-            )
-            wanted = wanted.select("uid", "p.length", "gap", F.floor((F.col("slot") + F.col("rank") - F.col("first")) / F.col("slots")).alias("rank"))
-            offered = _ranked_by(gaps.where(F.col("gap").isin(used)), "gap", "bin", sum(room.get(g, 0) for g in used))
-            step_out = stash(wanted.join(offered, ["gap", "rank"], "left").select("uid", "length", "bin"), "placed")
-            placements.append(step_out.where(F.col("bin").isNotNull()))
-            took = step_out.where(F.col("bin").isNotNull()).groupBy("bin").agg(F.sum("length").alias("_took"))
-            gaps = stash(gaps.join(took, "bin", "left").select("bin", (F.col("gap") - F.coalesce("_took", F.lit(0))).alias("gap")).where("gap > 0"), "gaps")
-            old.append(gaps)
-            rest = step_out.where(F.col("bin").isNull()).select("uid", "length")
-            todo = dict(left)
-    if len(old) > 1:
-        discard(*old[:-1])
-    return placements
+            while order and order[0] < length:
+                small.append(heapq.heappop(order))
+            if order:
+                room = order[0]
+                first, n = gaps[room].pop()
+                if not gaps[room]:
+                    del gaps[room]
+                    heapq.heappop(order)
+            else:
+                room, first, n = size, opened, -(-todo // (size // length))
+                opened += n
+            each = room // length
+            taken = min(todo, n * each)
+            runs.append((length, rank, first, size - room, each))
+            full, rest = divmod(taken, each)
+            free(room - each * length, first, full)
+            if rest:
+                free(room - rest * length, first + full, 1)
+            free(room, first + full + bool(rest), n - full - bool(rest))
+            rank, todo = rank + taken, todo - taken
+        for room in small:
+            heapq.heappush(order, room)
+    return runs
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
@@ -232,14 +181,35 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     Null and empty texts are pieces of one id; repeated rows are packed as often as they come; an
     empty table gives an empty result; other columns of ``docs`` are left aside, so none can clash.
     """
-    pieces = stash(cut(docs, tokenizer, id_col, text_col, size).withColumn("uid", F.monotonically_increasing_id()), "pieces")
-    tables = assign(pieces.select("uid", "length"), size)
-    placed = tables[0]
-    for t in tables[1:]:
-        placed = placed.unionByName(t)
-    along = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "uid").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        pieces.join(placed.select("uid", F.col("bin").alias("sequence_id")), "uid")
-        .withColumn("offset", F.coalesce(F.sum("length").over(along), F.lit(0)))
-        .select(id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
-    )
+    pieces = stash(cut(docs, tokenizer, id_col, text_col, size).withColumn("_tie", F.xxhash64(id_col, "piece", "ids_crc32")), "pieces")
+    # the tie splits a length that many pieces share over several ranges
+    ranges = pieces.repartitionByRange("length", "_tie").sortWithinPartitions("length", "_tie")
+    row = F.monotonically_increasing_id()
+    ranges = stash(ranges.drop("_tie").withColumn("_range", F.shiftright(row, 33).cast("int")).withColumn("_row", row.bitwiseAND(F.lit((1 << 33) - 1))), "ranges")
+    # a row for each range and length in it: ranges hold neighbouring lengths, so there are few more rows than ranges and lengths
+    counted = sorted((r[0], r[1], r[2], r[3]) for r in ranges.groupBy("length", "_range").agg(F.min("_row"), F.count(F.lit(1))).collect())
+    lengths: dict[int, int] = {}
+    before: list[int] = []
+    for length, _, first, n in counted:
+        before.append(lengths.get(length, 0) - first)
+        lengths[length] = lengths.get(length, 0) + n
+    place = np.array([(r << 20) | length for length, r, _, _ in counted], np.int64)
+    by_place = np.argsort(place)
+    place, before_rank = place[by_place], np.array(before, np.int64)[by_place]
+    runs = np.array(sorted(sweep(lengths, size)), np.int64).reshape(-1, 5)
+    starts = runs[:, 0] << 42 | runs[:, 1]
+    names = [id_col, "piece", "start", "length", "ids_crc32"]
+
+    def run(batches):
+        for batch in batches:
+            of = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: E731, B023
+            length, at = of("length").to_numpy(), of("_range").to_numpy().astype(np.int64)
+            rank = of("_row").to_numpy() + before_rank[np.searchsorted(place, at << 20 | length)]
+            mine = runs[np.searchsorted(starts, length << 42 | rank, "right") - 1]
+            along = rank - mine[:, 1]
+            sequence = mine[:, 2] + along // mine[:, 4]
+            offset = mine[:, 3] + along % mine[:, 4] * length
+            yield pa.RecordBatch.from_arrays([*(of(n) for n in names), pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
+
+    kind = ranges.schema[id_col].dataType.simpleString()
+    return ranges.mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

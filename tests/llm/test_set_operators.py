@@ -153,10 +153,39 @@ def test_chunked_encoding_equals_the_tokenizer():
         assert np.frombuffer(encode(text, tokenizer_path()), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
-def test_sweep_takes_the_smallest_gap_that_fits():
-    runs, left, placed = sweep({5: 2, 3: 1}, {4: 1, 5: 1, 9: 1}, 5)
-    assert placed == 3 and not left
-    assert {(length, gap) for length, _, _, gap, _ in runs} == {(5, 5), (5, 9), (3, 4)}
+def best_fit(lengths: dict, size: int) -> Counter:
+    """Rooms left by piece-by-piece best fit of the longest first."""
+    gaps: list = []
+    for length in sorted((n for n, c in lengths.items() for _ in range(c)), reverse=True):
+        fits = [g for g in gaps if g >= length]
+        gap = min(fits) if fits else size
+        if fits:
+            gaps.remove(gap)
+        gaps.append(gap - length)
+    return Counter(gaps)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_supersteps_equal_piecewise_best_fit(seed):
+    rng = random.Random(seed)
+    size = rng.choice([7, 40, 100])
+    lengths = {n: rng.choice([1, 2, 5, 40]) for n in rng.sample(range(1, size + 1), min(size, 12))}
+    runs = sorted(sweep(lengths, size))
+    room: Counter = Counter()
+    used: dict = {}
+    for (length, first, sequence, offset, each), after in zip(runs, [*runs[1:], (0, 0)]):
+        n = (after[1] if after[0] == length else lengths[length]) - first
+        for i in range(n):
+            at = used.setdefault(sequence + i // each, [])
+            at.append((offset + i % each * length, length))
+    for pieces in used.values():
+        end = 0
+        for at, length in sorted(pieces):
+            assert at == end
+            end += length
+        assert end <= size
+        room[size - end] += 1
+    assert room == best_fit(lengths, size)
 
 
 def test_neighbours(spark):
