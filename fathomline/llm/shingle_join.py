@@ -17,9 +17,12 @@ both sides. A pair is sure to be met if one of its classes is sure: T - L is 1 a
 of the set that a few shared tokens make no candidate. Classes for which that fails (most of
 their tokens stand in long lists, or they are short) propose nothing and go to a second search among
 themselves over all their tokens: there each class searches with its n - T + 1 rarest tokens, whose
-lists of any length are linked to their smallest member first; what is still in different
-components after that is paired in full. That pairing is exact and empty for groups of copies
-however large, so no group is expanded into its pairs, and no link between components is lost.
+lists of any length are linked to a head, round by round with other heads for as long as that joins
+components; what is still in different components after that is paired in full. That pairing is
+exact: of two sets that link, the smaller has a common token among its first n - 8/9 n + 1 and the
+larger among its first n - T + 1. It is empty for groups of copies however large, and nearly so for
+texts around a common passage, so no group is expanded into its pairs, and no link between
+components is lost.
 """
 
 from __future__ import annotations
@@ -43,6 +46,10 @@ SHARE = 0.28
 SHORT = 24
 #: A class is sure if T - L reaches this part of its set.
 MARGIN = 32
+#: Share of the classes in which tokens are looked for that surely have long lists, and how many are kept of them.
+LOOKED_AT, MOST_HOT = 0.02, 50_000
+#: Rounds of heads go on while so many of 100 proposals link.
+WORTHWHILE = 25
 #: Ids that may be broadcast to pick documents; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 REMEMBERED = 400_000
@@ -124,6 +131,11 @@ def _least(n):
     return F.floor((F.lit(SIMILARITY) * n + 99) / 100)
 
 
+def _joint(n1, n2):
+    """Columns: the intersection that sets of these sizes need at least."""
+    return F.ceil(F.lit(SIMILARITY) * (n1 + n2) / (100 + SIMILARITY))
+
+
 def _reachable(n1: str, place1: str, n2: str, place2: str):
     """Whether two sets of these sizes can link if their first common token stands at these places of their orders.
 
@@ -255,11 +267,14 @@ class _Search:
         self.classes = stash(grouped.withColumn("s", F.size("tokens").cast("long")).withColumn("c", F.monotonically_increasing_id()), "classes")
         discard(raw)
         self.links: list[DataFrame] = []
+        #: Stashed tables that nothing reads once the result is there.
+        self.used: list[DataFrame] = []
         self.label: DataFrame | None = None
 
     def sets_of(self, needed: DataFrame) -> DataFrame:
         """(c, n, tokens) with all tokens of the classes in ``needed`` (c), read again from their documents."""
         wanted = stash(needed.join(self.classes.select("c", "rep", "f1", "f2"), "c"), "wanted")
+        self.used.append(wanted)
         ids = wanted.select(F.col("rep").alias("_id")).distinct()
         few = wanted.count() <= BROADCAST_IDS
         picked = self.docs.select(self.id_col, self.text_col).join(F.broadcast(ids) if few else ids, F.col(self.id_col).eqNullSafe(F.col("_id")), "left_semi")
@@ -268,15 +283,22 @@ class _Search:
         found = full.join(F.broadcast(wanted.select("f1", "f2", "c")) if few else wanted.select("f1", "f2", "c"), ["f1", "f2"])
         return found.groupBy("c").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
 
-    def verify(self, pairs: DataFrame) -> int:
-        """Probe candidate pairs (a, b), a stashed table, and keep those that link; returns how many."""
-        needed = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
-        blobs = stash(_as_bytes(self.sets_of(needed)), "blobs")
+    def verify(self, pairs: DataFrame, sets: DataFrame | None = None) -> int:
+        """Probe candidate pairs (a, b), a stashed table, and keep those that link; returns how many.
+
+        ``sets`` are the token sets of the classes as bytes, where they are at hand already.
+        """
+        if sets is None:
+            needed = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
+            blobs = stash(_as_bytes(self.sets_of(needed)), "blobs")
+        else:
+            blobs = sets
         one = blobs.select(F.col("c").alias("a"), F.col("blob").alias("x"))
         two = blobs.select(F.col("c").alias("b"), F.col("blob").alias("y"))
         joined = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y")
         linked = stash(joined.mapInArrow(_reaches, "a long, b long"), "links")
-        discard(blobs)
+        if sets is None:
+            discard(blobs)
         found = linked.count()
         if found:
             self.links.append(linked)
@@ -311,53 +333,83 @@ class _Search:
         both = pairs.join(size.select(F.col("c").alias("a"), F.col("n").alias("_na")), "a").join(size.select(F.col("c").alias("b"), F.col("n").alias("_nb")), "b")
         return both.where((100 * F.least("_na", "_nb") >= SIMILARITY * F.greatest("_na", "_nb"))).select(*pairs.columns)
 
+    def hot_tokens(self) -> DataFrame:
+        """Tokens that surely have long lists, as a share of the classes shows already: at most ``MOST_HOT``, the most frequent."""
+        some = self.classes.where(F.pmod(F.xxhash64("c"), F.lit(10_000)) < int(LOOKED_AT * 10_000)).select(F.explode("tokens").alias("token"))
+        return some.groupBy("token").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > SHORT).orderBy(F.desc("_n"), "token").limit(MOST_HOT).select("token")
+
     def first_search(self) -> DataFrame:
         """Short lists of the share; links what they propose and returns the classes that need the second search."""
         postings = self.classes.select(F.explode("tokens").alias("token"), "c")
+        # the longest lists are only counted, so their tokens need not meet in one task
+        hot = F.broadcast(stash(self.hot_tokens(), "hot"))
         parts = int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        lists = postings.repartition(parts, "token").sortWithinPartitions("token", "c").mapInArrow(_passed_on, "c long, others array<long>, long long")
+        lists = postings.join(hot, "token", "left_anti").repartition(parts, "token").sortWithinPartitions("token", "c").mapInArrow(_passed_on, "c long, others array<long>, long long")
         # counts of long lists are summed before they travel; others travel as they are
         passed = stash(lists, "passed")
-        hot = passed.where("long > 0").groupBy("c").agg(F.sum("long").alias("long")).withColumn("others", F.array().cast("array<long>"))
-        members = passed.where("long = 0").unionByName(hot)
+        counted = passed.where("long > 0").select("c", "long").unionByName(postings.join(hot, "token", "left_semi").select("c", F.lit(1).cast("long").alias("long")))
+        long_ = counted.groupBy("c").agg(F.sum("long").alias("long")).withColumn("others", F.array().cast("array<long>"))
+        members = passed.where("long = 0").unionByName(long_)
         asked = members.join(self.classes.select("c", "n", "s"), "c").repartition(parts, "c").sortWithinPartitions("c")
         merged = stash(asked.mapInArrow(_merged, "a long, b long, long long"), "merged")
-        self.link(stash(self.fitting(merged.where(F.col("b").isNotNull()).select("a", "b").distinct()), "pairs"))
+        discard(passed)
+        pairs = stash(self.fitting(merged.where(F.col("b").isNotNull()).select("a", "b").distinct()), "pairs")
+        self.link(pairs)
         long_lists = merged.where(F.col("b").isNull()).select(F.col("a").alias("c"), "long")
         need = _least(F.col("n")) - (F.col("n") - F.col("s")) - F.coalesce("long", F.lit(0))
         sure = need >= F.greatest(F.lit(1), F.floor(F.col("n") / MARGIN))
-        return stash(self.classes.select("c", "n", "s").join(long_lists, "c", "left").where(~sure).select("c"), "unsure")
+        unsure = stash(self.classes.select("c", "n", "s").join(long_lists, "c", "left").where(~sure).select("c"), "unsure")
+        discard(merged, pairs)
+        self.used.append(unsure)
+        return unsure
+
+    def mixed(self, prefix: DataFrame) -> DataFrame:
+        """The rows of ``prefix`` whose lists hold several components, with each class's root."""
+        root = self.label.select(F.col("node").alias("c"), "root") if self.label is not None else prefix.select("c", F.lit(None).cast("long").alias("root")).limit(0)
+        placed = prefix.select("token", "c", "n", "place").join(root, "c", "left").withColumn("root", F.coalesce("root", "c"))
+        several = placed.groupBy("token").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo != _hi").select("token")
+        return stash(placed.join(several, "token"), "mixed")
 
     def second_search(self, unsure: DataFrame) -> None:
         """All tokens of the unsure classes: rarest n - T + 1 first, linked to list heads, then paired across components."""
         if unsure.isEmpty():
             return
         full = stash(self.sets_of(unsure), "full")
+        sets = stash(_as_bytes(full), "blobs")
         postings = full.select("c", "n", F.explode("tokens").alias("token"))
         counts = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
         # tokens of one class only come first in its order but propose nothing: they are counted, not carried
         shared = postings.join(counts, "token")
-        alone = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("c"))
-        rank = F.row_number().over(Window.partitionBy("c").orderBy("df", "token"))
-        prefix = stash(shared.withColumn("place", alone + rank).where(F.col("place") <= F.col("n") - _least(F.col("n")) + 1).select("token", "c", "n", "place"), "prefix")
-        heads = prefix.groupBy("token").agg(F.min(F.struct("n", "c", "place")).alias("h"), F.count(F.lit(1)).alias("k")).where("k > 1").select("token", F.col("h.c").alias("head"), F.col("h.n").alias("_hn"), F.col("h.place").alias("_hp"))
-        stars = prefix.join(heads, "token").where((F.col("c") != F.col("head")) & _reachable("n", "place", "_hn", "_hp"))
-        stars = stash(self.apart(stars.select(F.least("c", "head").alias("a"), F.greatest("c", "head").alias("b")).distinct()), "stars")
-        if not stars.isEmpty():
-            self.verify(stars)
-        root = self.label.select(F.col("node").alias("c"), "root") if self.label is not None else prefix.select("c", F.lit(None).cast("long").alias("root")).limit(0)
-        placed = prefix.join(root, "c", "left").withColumn("root", F.coalesce("root", "c"))
-        mixed = placed.groupBy("token").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo != _hi").select("token")
-        left = stash(placed.join(mixed, "token"), "left")
-        if left.isEmpty():
-            return
-        x = left.select("token", F.col("c").alias("a"), F.col("n").alias("_na"), F.col("root").alias("_ra"), F.col("place").alias("_pa"))
+        order = Window.partitionBy("c").orderBy("df", "token")
+        alone = F.col("n") - F.count(F.lit(1)).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        prefix = stash(shared.withColumn("place", alone + F.row_number().over(order)).where(F.col("place") <= F.col("n") - _least(F.col("n")) + 1).select("token", "c", "n", "place"), "prefix")
+        left, turn = self.mixed(prefix), 0
+        while not left.isEmpty():
+            # another head each round: first the one with the fewest rarer tokens, which texts made from it have more of; then any
+            by = F.struct("place", "n", "c", "root") if turn == 0 else F.struct(F.xxhash64("c", F.lit(turn)), "c", "n", "place", "root")
+            heads = left.groupBy("token").agg(F.min(by).alias("h")).select("token", F.col("h.c").alias("head"), F.col("h.n").alias("_hn"), F.col("h.place").alias("_hp"), F.col("h.root").alias("_hr"))
+            near = left.join(heads, "token").where((F.col("root") != F.col("_hr")) & _reachable("n", "place", "_hn", "_hp"))
+            stars = stash(near.select(F.least("c", "head").alias("a"), F.greatest("c", "head").alias("b")).distinct(), "stars")
+            proposed = stars.count()
+            found = self.verify(stars, sets) if proposed else 0
+            discard(stars)
+            if found:
+                before, left = left, self.mixed(left)
+                discard(before)
+            turn += 1
+            if 100 * found < WORTHWHILE * max(1, proposed):
+                break
+        x = left.where(F.col("place") <= F.col("n") - _joint(F.col("n"), F.col("n")) + 1)
+        x = x.select("token", F.col("c").alias("a"), F.col("n").alias("_na"), F.col("root").alias("_ra"), F.col("place").alias("_pa"))
         y = left.select("token", F.col("c").alias("b"), F.col("n").alias("_nb"), F.col("root").alias("_rb"), F.col("place").alias("_pb"))
-        across = x.join(y, "token").where((F.col("_ra") < F.col("_rb")) & _reachable("_na", "_pa", "_nb", "_pb"))
-        across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        across = stash(across.join(stars, ["a", "b"], "left_anti"), "across")
+        across = x.join(y, (x.token == y.token) & (F.col("_na") <= F.col("_nb")) & (F.col("_ra") != F.col("_rb")) & _reachable("_na", "_pa", "_nb", "_pb"))
+        # orders agree, so what two prefixes share is all that the sets share up to the last shared place
+        across = across.groupBy("a", "b").agg(F.count(F.lit(1)).alias("_k"), F.first("_na").alias("_na"), F.first("_nb").alias("_nb"), F.max("_pa").alias("_pa"), F.max("_pb").alias("_pb"))
+        across = across.where(F.col("_k") + F.least(F.col("_na") - F.col("_pa"), F.col("_nb") - F.col("_pb")) >= _joint(F.col("_na"), F.col("_nb")))
+        across = stash(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "across")
         if not across.isEmpty():
-            self.verify(across)
+            self.verify(across, sets)
+        discard(left, across, prefix, sets, full)
 
     def result(self) -> DataFrame:
         """(id, n_shingles, component_id) for every row."""
@@ -393,7 +445,9 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     search = _Search(docs, id_col, text_col, words)
     search.second_search(search.first_search())
-    return search.result().withColumnRenamed("id", id_col)
+    out = stash(search.result(), "components")
+    discard(*search.used, *search.links, search.rows, search.classes)
+    return out.withColumnRenamed("id", id_col)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
