@@ -135,7 +135,9 @@ def test_toxicity_learns_marked_words_and_survives_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     empty = fit_toxicity(docs, none)
     got = score_toxicity(docs.withColumn("score", F.lit("old")), empty).collect()
-    assert [r.score for r in got] == [0.5, 0.5]
+    assert [(r.score, r.rejected) for r in got] == [(0.0, False)] * 2
+    one_class = fit_toxicity(docs, spark.createDataFrame([(1, 1)], "doc_id long, toxic int"))
+    assert not any(r.rejected for r in score_toxicity(docs, one_class).collect())
 
 
 def test_digest_functions_match():
