@@ -38,6 +38,8 @@ KINDS = ("assign", "access", "hex")
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
+#: Escapes of an escape's own sign, one in another: they are taken off together, or each would make a layer of the whole text.
+NESTED = re.compile(r"%25(?:25)+(?=[0-9A-Fa-f]{2})|\\u005[cC](?:u005[cC])+(?=u[0-9A-Fa-f]{4})|\\x5[cC](?:x5[cC])+(?=x[0-9A-Fa-f]{2})")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 KEYWORDS = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
 #: Base64 over several lines, and what is joined away there.
@@ -69,6 +71,8 @@ def scan(text: str) -> list[Span]:
 
 def _pieces(text: str) -> Iterator[tuple[int, int, str]]:
     """Stretches of one character or more that decode to other text: start, end, decoded."""
+    for m in NESTED.finditer(text):
+        yield m.start(), m.end(), m[0][0]
     for m in UNICODE.finditer(text):
         yield m.start(), m.end(), chr(int(m[0][2:], 16))
     if "%" in text:
@@ -80,7 +84,7 @@ def _pieces(text: str) -> Iterator[tuple[int, int, str]]:
 def _unescaped(text: str) -> tuple[str, list[int], list[int]] | None:
     """The text with its escapes decoded in place; ``outs`` and ``ins`` pair up positions after and before."""
     parts, at, outs, ins, made = [], 0, [0], [0], 0
-    for start, end, decoded in sorted(_pieces(text)):
+    for start, end, decoded in sorted(_pieces(text), key=lambda p: (p[0], -p[1])):
         if start < at:
             continue
         parts += [text[at:start], decoded]
