@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import stash
 
 SHARD = 4096
-BLOCK = 2048
+BLOCK = 32_768
 DEGREE, BEAM, RELAX, QUERY_BEAM = 24, 40, 1.2, 64
 #: Mirrored edges a node may hold beyond its degree before it is pruned again.
 SLACK = 12
@@ -143,14 +143,15 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, relax: fl
 def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", keep_ids: int = 11, shard: int = SHARD) -> DataFrame:
     """A stashed table of every shard's graph: shard, node, vector, ids (the smallest ``keep_ids``), neighbours, start.
 
-    Every usable row is indexed. Vectors of other lengths than a shard's most frequent one are kept
+    Every usable row is indexed; rows that repeat an id and vector count once, and an empty table gives
+    an empty index. Columns beside the two named are left aside. Vectors of other lengths than a shard's most frequent one are kept
     apart: shards are dealt by length and hash.
     """
     rows = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda v: v.cast("double") + F.lit(0.0)).alias("v"))
     rows = rows.withColumn("h", F.xxhash64("v")).withColumn("n", F.size("v"))
     first = Window.partitionBy("h", "v").orderBy("id")
-    ranked = rows.withColumn("k", F.row_number().over(first)).where(F.col("k") <= keep_ids)
-    distinct = ranked.groupBy("h", "v", "n").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    ranked = rows.withColumn("k", F.dense_rank().over(first)).where(F.col("k") <= keep_ids)
+    distinct = ranked.groupBy("h", "v", "n").agg(F.array_sort(F.collect_set("id")).alias("ids"))
     distinct = stash(distinct, "distinct")
     count = distinct.count()
     shards = max(1, -(-count // shard))
@@ -162,18 +163,20 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
         return pd.DataFrame({"n": pdf.n, "s": pdf.s, "node": np.arange(len(pdf)), "v": pdf.v, "ids": pdf.ids, "near": [g[g >= 0] for g in graph], "start": start})
 
     spread = dealt.select("h", "v", "n", "ids", F.col("shard.s").alias("s"))
-    graphs = spread.groupBy("n", "s").applyInPandas(build, "n int, s int, node int, v array<double>, ids array<long>, near array<int>, start int")
+    # as many tasks as shards: adaptive execution would put several small shards into one task
+    graphs = spread.repartition(shards, "n", "s").groupBy("n", "s").applyInPandas(build, "n int, s int, node int, v array<double>, ids array<long>, near array<int>, start int")
     return stash(graphs, "graph")
 
 
 def search(index: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", beam: int = QUERY_BEAM) -> DataFrame:
     """Each query's ``k`` nearest of the index but itself: query_id, rank, vec_id, score.
 
-    Nearest first, ties to the smaller id. Queries that aren't usable find nothing; a query without
+    Nearest first, ties to the smaller id. An id that has several vectors counts with the nearest, and
+    as a query with the smallest of them; repeated queries are asked once. Queries that aren't usable find nothing; a query without
     other vectors of its length has no rows. The index must keep ``k + 1`` ids or more a vector.
     """
     asked = queries.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("q"), F.transform(vector_col, lambda v: v.cast("double")).alias("qv"))
-    asked = asked.withColumn("qn", F.size("qv"))
+    asked = asked.groupBy("q").agg(F.min("qv").alias("qv")).withColumn("qn", F.size("qv"))
     blocks = max(1, -(-asked.count() // BLOCK))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int"))
     shards = index.select(F.col("n").alias("qn"), F.col("s").alias("qs")).distinct()
@@ -198,10 +201,13 @@ def search(index: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
             for name, point, found in zip(part.q, points, nodes):
                 found = found[found >= 0]
                 d = np.sqrt(((x[found] - point) ** 2).sum(1))
-                near = sorted((s, int(i)) for s, f in zip(d.tolist(), found.tolist()) for i in ids[f] if i != name)
-                out += [(name, i, s) for s, i in near[:k]]
+                nearest: dict[int, float] = {}
+                for s, i in sorted((s, int(i)) for s, f in zip(d.tolist(), found.tolist()) for i in ids[f] if i != name):
+                    nearest.setdefault(i, s)
+                out += [(name, i, s) for i, s in list(nearest.items())[:k]]
         return pd.DataFrame(out, columns=["q", "id", "score"]) if out else none
 
     found = graph.groupBy("n", "s", "block").cogroup(per_shard.groupBy("qn", "qs", "block")).applyInPandas(run, "q long, id long, score double")
+    found = found.groupBy("q", "id").agg(F.min("score").alias("score"))
     best = Window.partitionBy("q").orderBy("score", "id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(F.col("q").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
