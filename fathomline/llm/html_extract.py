@@ -32,30 +32,42 @@ CLOSED_BY_SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr"
 FURNITURE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login sidebar side rail widget related recommended recommendations comment comments commentlist disqus respond reply replies menu nav navbar navigation breadcrumb breadcrumbs masthead topbar header footer foot share sharing social toolbar pagination pager skip complementary contentinfo search dialog".split()
 )
+#: Of these words, those that name readers' comments.
+COMMENTS = frozenset(["comment", "comments", "commentlist", "reply", "replies"])
 #: Of these words, those that may also name a part of an article when they stand in it.
 MILD = frozenset(["header", "notice", "side", "search"])
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*')?)*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([A-Za-z][\w:-]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 WORD = re.compile(r"[a-z]+")
+#: First words of a class that say what an element has or lacks, not what it is.
+ABOUT = frozenset(["has", "no", "with", "without", "not", "hide", "show"])
 #: Commas of the scripts that have their own.
 COMMA = re.compile("[,،、，]")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "names", "hidden", "score", "size", "links")
+    __slots__ = ("tag", "parent", "children", "names", "plain", "hidden", "score", "size", "links", "holds")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
         self.tag, self.parent, self.children = tag, parent, []
+        #: Words of the names of furniture in class, id and role, and those of them that are a whole name.
         self.names: frozenset = frozenset()
+        self.plain = False
         self.hidden = False
+        #: Whether an article or main element is below.
+        self.holds = False
         self.score = 0.0
         self.size = self.links = 0
         if attributes and ("=" in attributes or "hidden" in attributes):
             for m in ATTRIBUTE.finditer(attributes):
                 name = m[1].lower()
                 if name in ("class", "id", "role"):
-                    self.names |= frozenset(WORD.findall((m[2] or "").lower()))
+                    for one in (m[2] or "").strip("\"'").lower().split():
+                        words = WORD.findall(one)
+                        if words and words[0] not in ABOUT and not FURNITURE.isdisjoint(words):
+                            self.names |= FURNITURE.intersection(words)
+                            self.plain = self.plain or len(words) == 1
                 elif name == "hidden":
                     self.hidden = True
 
@@ -107,20 +119,43 @@ def parse(page: str) -> Node:
     return root
 
 
-def _furniture(node: Node, inside: bool) -> bool:
-    """Whether an element is page furniture; within an article, its own header is part of it."""
+def _furniture(node: Node, inside: bool, most: float) -> bool:
+    """Whether an element is page furniture; within an article, its own header is part of it.
+
+    What holds the article, or more than ``most`` characters in a form or under a name of several words
+    (``share-price``), is the page's content whatever it is called.
+    """
+    if node.tag == "form" and not node.hidden and (node.holds or node.size > most):
+        return False
     if node.hidden or node.tag in DROPPED:
         return True
     if node.tag in ("body", "html", "article", "main"):
-        return False
+        return bool(inside and node.plain and node.names & COMMENTS)
     if node.tag == "header":
         return not inside
-    names = node.names & FURNITURE
-    return bool(names - MILD if inside else names)
+    names = node.names - MILD if inside else node.names
+    return bool(names) and not node.holds and (node.plain or node.size <= most)
+
+
+def _measure(root: Node) -> None:
+    """The size of the readable text below each element, and whether an article is below."""
+    order = [root]
+    for node in order:
+        order += [c for c in node.children if not isinstance(c, str)]
+    for node in reversed(order):
+        if node.tag in RAW:
+            continue
+        node.size += sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        up = node.parent
+        if up is not None:
+            up.size += node.size
+            up.holds = up.holds or node.holds or node.tag in ("article", "main")
 
 
 def _prune(root: Node) -> None:
     """Take furniture out of the tree, and measure text, link text and paragraph points below each element."""
+    _measure(root)
+    most = root.size / 2
     order: list[tuple[Node, bool]] = [(root, False)]
     for node, inside in order:  # grows while it is read: parents before children
         within = inside or node.tag in ("article", "main")
@@ -128,11 +163,12 @@ def _prune(root: Node) -> None:
         for c in node.children:
             if isinstance(c, str):
                 kept.append(c)
-            elif not _furniture(c, within):
+            elif not _furniture(c, within, most):
                 kept.append(c)
                 order.append((c, within))
         node.children = kept
     for node, _ in reversed(order):
+        node.size = 0
         for c in node.children:
             if isinstance(c, str):
                 n = len(c.strip())
@@ -173,8 +209,9 @@ def _best(root: Node) -> list[Node]:
     up = best
     while up is not None and up.tag not in ("article", "main"):
         up = up.parent
-    if up is not None:  # the page itself says where the article is
-        return [up]
+    if up is not None:  # the page itself says where the article is; it may have more than one
+        alike = lambda c: c is up or (not isinstance(c, str) and c.tag == up.tag and c.score * (1 - _density(c)) >= up.score * (1 - _density(up)) / 2)
+        return [c for c in up.parent.children if alike(c)]
     if best.tag in ("body",) or best.parent is None:
         return [best]
     kept = []
@@ -188,8 +225,11 @@ def _best(root: Node) -> list[Node]:
 
 
 def _menu(node: Node) -> bool:
-    """A list or box that is little more than links."""
-    return node.tag in ("ul", "ol", "div", "section", "table", "p") and _density(node) > 0.6 and node.size > 0 and sum(1 for _ in _anchors(node)) > 1
+    """A list or box that is little more than links; what an article or main element holds is its own."""
+    up = node.parent
+    while up is not None and up.tag not in ("article", "main"):
+        up = up.parent
+    return up is None and node.tag in ("ul", "ol", "div", "section") and _density(node) > 0.6 and node.size > 0 and sum(1 for _ in _anchors(node)) > 1
 
 
 def _anchors(node: Node):
