@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,18 +52,22 @@ def discard(*frames: DataFrame) -> None:
 
 
 def sliced(batches: Iterator[pa.RecordBatch], column: str, chars: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Cut Arrow batches so that one slice's texts hold about ``chars`` characters.
+    """Cut Arrow batches so that one slice's texts hold about ``chars`` bytes.
 
-    Bounds a worker's memory by the slice, or by one text where that alone is longer.
+    Bounds a worker's memory by the slice, or by one text where that alone is longer: only a slice's
+    texts are Python strings at a time. What Arrow holds beyond need goes back when the batches end.
     """
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index(column)).to_pylist()
-        start = held = 0
-        for i, t in enumerate(texts):
-            held += len(t or "")
-            if held >= chars or i + 1 == len(texts):
-                yield batch.slice(start, i + 1 - start), texts[start : i + 1]
-                start, held = i + 1, 0
+        at = batch.schema.get_field_index(column)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < len(ends):
+            held = ends[start - 1] if start else 0
+            end = min(int(np.searchsorted(ends, held + chars)) + 1, len(ends))
+            part = batch.slice(start, end - start)
+            yield part, part.column(at).to_pylist()
+            start = end
+    pa.default_memory_pool().release_unused()
 
 
 def with_columns(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:

@@ -35,7 +35,7 @@ SIZE = 2048
 END = (0).to_bytes(4, "little")
 SPECIAL = "<|endoftext|>"
 #: Chunks a worker remembers the ids of; beyond it the memory starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 _state: dict = {}
 
@@ -122,6 +122,7 @@ def cut(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
             cols = list(zip(*rows))
             kinds = (arrow_id, pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[id_col, "piece", "start", "length", "ids_crc32"])
+        _state.get("chunks", {}).clear()  # the worker may go on with another operator
 
     kind = id_type.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long")

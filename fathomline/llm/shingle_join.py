@@ -52,7 +52,7 @@ LOOKED_AT, MOST_HOT = 0.02, 50_000
 WORTHWHILE = 25
 #: Ids that may be broadcast to pick documents; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _LIMIT = np.int64(-(2**63) + int(SHARE * 2**64))
@@ -122,6 +122,7 @@ def _digested(docs: DataFrame, text_col: str, id_col: str, words: int, full: boo
                 ],
                 names=["id", "n", "f1", "f2", "tokens"],
             )
+        _known.clear()  # the worker may go on with another operator
 
     return docs.select(id_col, text_col).mapInArrow(run, f"id {kind.simpleString()}, n long, f1 long, f2 long, tokens array<long>")
 
