@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -55,7 +56,8 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, chars: int = 2_000_00
     """Cut Arrow batches so that one slice's texts hold about ``chars`` bytes.
 
     Bounds a worker's memory by the slice, or by one text where that alone is longer: only a slice's
-    texts are Python strings at a time. What Arrow holds beyond need goes back when the batches end.
+    texts are Python strings at a time. Memory beyond need goes back when the batches end: workers live
+    on and share an executor.
     """
     for batch in batches:
         at = batch.schema.get_field_index(column)
@@ -68,6 +70,9 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, chars: int = 2_000_00
             yield part, part.column(at).to_pylist()
             start = end
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only where the C library has it
+    if trim:
+        trim(0)
 
 
 def with_columns(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:

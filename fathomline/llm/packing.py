@@ -35,17 +35,25 @@ SIZE = 2048
 END = (0).to_bytes(4, "little")
 SPECIAL = "<|endoftext|>"
 #: Chunks a worker remembers the ids of; beyond it the memory starts anew.
-REMEMBERED = 150_000
+REMEMBERED = 80_000
 
 _state: dict = {}
 
 
 def _tokenizer(path: str):
     if _state.get("path") != path:
+        _state.clear()
+        _state.update(path=path, chunks={}, fast=_ranked(path))
+    return _state
+
+
+def _whole(state: dict):
+    """The tokenizer itself, loaded where a text needs it: it takes as much memory as the ranks."""
+    if "whole" not in state:
         from tokenizers import Tokenizer
 
-        _state.update(path=path, whole=Tokenizer.from_file(path), chunks={}, fast=_ranked(path))
-    return _state
+        state["whole"] = Tokenizer.from_file(state["path"])
+    return state["whole"]
 
 
 def _ranked(path: str):
@@ -76,7 +84,7 @@ def encode(text: str, path: str) -> bytes:
     spaces, where that does not hold, and texts that spell a special token are encoded whole.
     """
     state = _tokenizer(path)
-    whole = lambda t: _packed(state["whole"].encode(t, add_special_tokens=False).ids)
+    whole = lambda t: _packed(_whole(state).encode(t, add_special_tokens=False).ids)
     if SPECIAL in text:
         return whole(text)
     fast = state["fast"]

@@ -52,7 +52,7 @@ LOOKED_AT, MOST_HOT = 0.02, 50_000
 WORTHWHILE = 25
 #: Ids that may be broadcast to pick documents; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _LIMIT = np.int64(-(2**63) + int(SHARE * 2**64))
