@@ -20,11 +20,20 @@ DIGITAL = "comp dv_eletric towers lps oil_level caudal_impulses".split()
 #: Floors and factors of the adaptive thresholds.
 FLOORS = {"decay": 0.25, "rate": 5.0, "run": 200.0, "off": 250.0}
 FACTORS = {"decay": 2.0, "rate": 1.8, "run": 1.5}
+#: The first month's medians, at twice which a rolling median is capped, and its band of the cycle rate.
+FIRST_MONTH = {"decay": 0.069, "rate": 1.968, "run": 109.0}
+NORMAL_RATE = (1.1979, 2.1646)
+#: The separator is back at the line less a margin; a changeover is so long a low of the towers in the first part of a load.
+H1_MARGIN, H1_RETURN_S = 0.3, 120
+PULSE_WINDOW_S, PULSE_LEAST_S = 120, 20
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A predicate over the frame with its hold time, symptom and severity; ``on`` is whether it runs by default."""
+    """A predicate over the frame with its hold time, symptom and severity; ``on`` is whether it runs by default.
+
+    A rule that fires goes on until its predicate has been false for as long as it had to hold.
+    """
 
     predicate: Column
     hold_s: int
@@ -89,19 +98,34 @@ def feature_frame(wide: DataFrame, gap_s: float = 60.0, warm_up: int = 30, froze
     # cycles: cut-in to cut-in within a segment, closed ones only
     cut_in = loaded & ~F.coalesce(F.lag(loaded).over(seg), F.lit(True))
     df = df.withColumn("_cut", cut_in.cast("int")).withColumn("cycle", F.sum("_cut").over(seg.rowsBetween(Window.unboundedPreceding, 0)))
+    of_cycle = Window.partitionBy("unit_id", "segment", "cycle")
+    back = ~loaded & (F.col("h1") >= F.col("tp3") - H1_MARGIN)
+    df = df.withColumns(
+        {
+            "_cut_out": F.min(F.when(~loaded, _seconds())).over(of_cycle),
+            "_back": F.min(F.when(back, _seconds())).over(of_cycle),
+            "_low": loaded & (F.col("towers") == 0) & (_seconds() - F.min(_seconds()).over(of_cycle) <= PULSE_WINDOW_S),
+        }
+    )
+    run_of(F.col("_low"), "_low_run")
+    df = df.withColumn("_low_s", F.when(F.col("_low"), F.sum("dt").over(Window.partitionBy("unit_id", "segment", "cycle", "_low_run"))))
     cyc = df.where("cycle > 0").groupBy("unit_id", "segment", "cycle").agg(
         F.min("sim_ts").alias("start"),
+        F.sum("dt").alias("period"),
+        (F.min("_back") - F.min("_cut_out")).alias("h1_back"),
         F.sum(F.when(loaded, F.col("dt"))).alias("loaded_s"),
         F.sum(F.when(F.col("mode") == "off", F.col("dt"))).alias("off_s"),
         F.when(F.count(F.when(~loaded, 1)) >= 6, -60 * F.regr_slope("tp3", F.when(~loaded, F.col("_t")))).alias("decay"),
-        (F.max("towers") - F.min("towers")).alias("pulsed"),
+        F.coalesce(F.max("_low_s") >= PULSE_LEAST_S, F.lit(False)).alias("pulsed"),
     )
     order = Window.partitionBy("unit_id", "segment").orderBy("cycle")
     last = lambda c, n: F.collect_list(c).over(order.rowsBetween(1 - n, 0))
-    two_days = Window.partitionBy("unit_id").orderBy(F.unix_micros("start")).rangeBetween(-172_800_000_000, 0)
-    rolling = lambda c: F.when(F.count(c).over(two_days) >= 20, F.percentile(c, F.lit(0.5)).over(two_days))
+    # a new segment starts with nothing to look back on
+    two_days = Window.partitionBy("unit_id", "segment").orderBy(F.unix_micros("start")).rangeBetween(-172_800_000_000, 0)
+    rolling = lambda c, name: F.when(F.count(c).over(two_days) >= 20, F.least(F.percentile(c, F.lit(0.5)).over(two_days), F.lit(2 * FIRST_MONTH[name])))
     span = Window.partitionBy("unit_id", "segment").orderBy(F.unix_micros("start")).rangeBetween(-7_200_000_000, 0)
     width = F.max(F.unix_micros("start")).over(span) - F.min(F.unix_micros("start")).over(span)
+    cyc = cyc.withColumn("_own_rate", F.when(F.col("period") > 0, 3600 / F.col("period")))
     cyc = cyc.withColumns(
         {
             "decays": last("decay", 3),
@@ -109,15 +133,19 @@ def feature_frame(wide: DataFrame, gap_s: float = 60.0, warm_up: int = 30, froze
             "pulses": last("pulsed", 3),
             "off_median": F.percentile("off_s", F.lit(0.5)).over(order.rowsBetween(-4, 0)),
             "rate": F.when(width > 0, (F.count("start").over(span) - 1) * 3_600_000_000 / width),
-            "roll_decay": rolling("decay"),
-            "roll_run": rolling("loaded_s"),
+            "roll_decay": rolling("decay", "decay"),
+            "roll_run": rolling("loaded_s", "run"),
+            "roll_rate": rolling("_own_rate", "rate"),
         }
     )
     # a cycle's figures hold from the next cut-in on, when it is closed
-    figures = cyc.select("unit_id", "segment", (F.col("cycle") + 1).alias("cycle"), "decays", "loads", "pulses", "off_median", "rate", "roll_decay", "roll_run")
+    figures = cyc.select("unit_id", "segment", (F.col("cycle") + 1).alias("cycle"), "decays", "loads", "pulses", "off_median", "rate", "roll_decay", "roll_run", "roll_rate", "h1_back")
     df = df.join(figures, ["unit_id", "segment", "cycle"], "left")
+    # since the cut-out until the separator is back, growing while it isn't; while loaded, what the last closed cycle took
+    open_ = (F.col("cycle") > 0) & (_seconds() >= F.col("_cut_out"))
+    df = df.withColumn("h1_return_s", F.when(open_, F.least(_seconds(), F.col("_back")) - F.col("_cut_out")).otherwise(F.col("h1_back")))
     guard = F.when(F.col("samples") < warm_up, "warm_up").when(F.col("frozen_n") >= frozen, "frozen").when((F.col("mode") == "off") & (F.col("tp3") < parked_below), "parked")
-    return df.withColumn("guard", guard).drop("_mode_run", "_same_run", "_pulse_run", "_purge_run", "_tp_gap", "_res_gap", "_cut", "_t")
+    return df.withColumn("guard", guard).drop("_mode_run", "_same_run", "_pulse_run", "_purge_run", "_tp_gap", "_res_gap", "_cut", "_t", "_cut_out", "_back", "_low", "_low_run", "_low_s", "h1_back")
 
 
 def adaptive(name: str, rolling: str | None = None) -> Column:
@@ -134,16 +162,16 @@ def registry() -> dict[str, Rule]:
         "stuck_loaded": Rule(loaded & (c("run_s") > 600) & (c("tp3_slope") < 0.1), 0, "continuous_load", "high"),
         "purge_pressure_high": Rule(c("purge_n") >= 6, 0, "purge_pressure_high", "high"),
         "fast_decay": Rule((F.size("decays") == 3) & F.forall("decays", lambda d: d > adaptive("decay", "roll_decay")), 0, "low_line_pressure", "medium"),
-        "frequent_cycling": Rule((c("rate") > adaptive("rate")) | (c("off_median") < FLOORS["off"]), 0, "frequent_cycling", "medium"),
+        "frequent_cycling": Rule((c("rate") > adaptive("rate", "roll_rate")) | (c("off_median") < FLOORS["off"]), 0, "frequent_cycling", "medium"),
         "long_loaded_runs": Rule(F.size(F.filter("loads", lambda s: s > adaptive("run", "roll_run"))) >= 3, 0, "frequent_cycling", "medium"),
         "low_pressure_switch": Rule((c("lps") == 1) & running, 60, "low_line_pressure", "critical"),
         "oil_temperature_high": Rule(c("oil_min") > 75, 1800, "oil_temperature_high", "medium"),
-        "oil_temperature_rising": Rule((c("oil_slope") > 4) & ~F.coalesce(c("rate") > adaptive("rate"), F.lit(False)), 7200, "oil_temperature_high", "low"),
+        "oil_temperature_rising": Rule((c("oil_slope") > 4) & c("rate").between(*NORMAL_RATE), 7200, "oil_temperature_high", "low"),
         "motor_current_high": Rule(loaded & (c("current") > 6.5), 60, "motor_current_high", "medium"),
         "motor_current_low": Rule(loaded & (c("run_s") > 30) & (c("current") < 5.2), 60, "motor_current_low", "medium"),
         "discharge_differential_low": Rule(loaded & (c("tp_gap") < 0.1), 60, "motor_current_low", "medium"),
-        "dryer_tower_not_switching": Rule((F.size("pulses") == 3) & F.forall("pulses", lambda p: p == 0), 0, "dryer_changeover_fault", "low"),
-        "separator_not_venting": Rule(~loaded & (c("run_s") > 120) & (c("h1") > c("tp3") - 0.3), 0, "separator_pressure_abnormal", "medium"),
+        "dryer_tower_not_switching": Rule((F.size("pulses") == 3) & F.forall("pulses", lambda p: ~p), 0, "dryer_changeover_fault", "low"),
+        "separator_not_venting": Rule(c("h1_return_s") > H1_RETURN_S, 0, "separator_pressure_abnormal", "medium"),
         "reservoir_pressure_mismatch": Rule(F.abs("res_gap") > 0.3, 300, "reservoir_deviation", "low"),
         "low_oil_level": Rule((c("oil_level") == 0) & running, 300, "oil_level_low", "medium"),
         "flow_pulses_missing": Rule(loaded & (c("pulse_s") > 600), 600, "no_flow_signal", "low", on=False),
@@ -151,19 +179,30 @@ def registry() -> dict[str, Rule]:
 
 
 def evaluate(frame: DataFrame, rules: dict[str, Rule] | None = None) -> DataFrame:
-    """The frame with ``rule_ids``: predicates that have held for their hold time; guarded frames clear every timer."""
+    """The frame with ``rule_ids``, the rules that fire at each sample in registry order.
+
+    A rule fires once its predicate has held for its hold time, and until it has been false for as
+    long; a gap or a guarded sample clears every timer. A null predicate is false.
+    """
     rules = rules or {k: r for k, r in registry().items() if r.on}
     seg = Window.partitionBy("unit_id", "segment").orderBy("sim_ts", "seq")
+    guarded = F.col("guard").isNotNull()
+    turned = (~guarded.eqNullSafe(F.lag(guarded).over(seg))).cast("int")
+    frame = frame.withColumn("_turned", turned).withColumn("_epoch", F.sum("_turned").over(seg.rowsBetween(Window.unboundedPreceding, 0)))
+    epoch = Window.partitionBy("unit_id", "segment", "_epoch").orderBy("sim_ts", "seq")
     for name, rule in rules.items():
-        on = F.coalesce(rule.predicate, F.lit(False)) & F.col("guard").isNull()
-        frame = frame.withColumn(f"_on_{name}", on)
+        on = F.col(f"_on_{name}")
+        frame = frame.withColumn(f"_on_{name}", F.coalesce(rule.predicate, F.lit(False)) & ~guarded)
         if rule.hold_s:
-            changed = (~F.col(f"_on_{name}").eqNullSafe(F.lag(f"_on_{name}").over(seg))).cast("int")
-            frame = frame.withColumn("_run", changed).withColumn("_run", F.sum("_run").over(seg.rowsBetween(Window.unboundedPreceding, 0)))
-            start = F.min(_seconds()).over(Window.partitionBy("unit_id", "segment", "_run"))
-            frame = frame.withColumn(f"_on_{name}", F.col(f"_on_{name}") & (_seconds() - start >= rule.hold_s)).drop("_run")
+            changed = (~on.eqNullSafe(F.lag(on).over(epoch))).cast("int")
+            frame = frame.withColumn("_run", changed).withColumn("_run", F.sum("_run").over(epoch.rowsBetween(Window.unboundedPreceding, 0)))
+            long_enough = _seconds() - F.min(_seconds()).over(Window.partitionBy("unit_id", "segment", "_epoch", "_run")) >= rule.hold_s
+            # the last island that was long enough decides, be it one of true or of false samples
+            frame = frame.withColumn("_said", F.when(long_enough, on))
+            fires = F.last("_said", ignorenulls=True).over(epoch.rowsBetween(Window.unboundedPreceding, 0))
+            frame = frame.withColumn(f"_on_{name}", F.coalesce(fires, F.lit(False))).drop("_run", "_said")
     ids = F.array_compact(F.array(*[F.when(F.col(f"_on_{n}"), F.lit(n)) for n in rules]))
-    return frame.withColumn("rule_ids", ids).drop(*[f"_on_{n}" for n in rules])
+    return frame.withColumn("rule_ids", ids).drop("_turned", "_epoch", *[f"_on_{n}" for n in rules])
 
 
 def any_of(names: list[str]) -> Column:

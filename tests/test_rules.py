@@ -13,6 +13,8 @@ from fathomline.sources import recordings
 T0 = datetime(2024, 1, 1)
 BASE = dict(tp2=8.5, tp3=8.0, h1=7.0, dv_pressure=0.0, reservoirs=8.0, oil_temperature=60.0, motor_current=5.8, comp=0, dv_eletric=1, towers=0, lps=0, oil_level=1, caudal_impulses=0)
 
+IDLE = {"comp": 1, "dv_eletric": 0, "motor_current": 3.5}
+
 
 def wide(spark, steps):
     rows = []
@@ -37,7 +39,11 @@ def last(spark, steps, names=None):
         ("motor_current_high", [{"motor_current": 7.0}] * 50),
         ("motor_current_low", [{"motor_current": 4.8}] * 50),
         ("discharge_differential_low", [{"tp2": 8.05 + 0.001 * (i % 5)} for i in range(50)]),
-        ("separator_not_venting", [{}] * 20 + [{"dv_eletric": 0, "comp": 1, "h1": 8.0}] * 20),
+        ("separator_not_venting", [IDLE] * 3 + [{}] * 20 + [IDLE | {"h1": 5.0}] * 20),
+        ("separator_not_venting", [IDLE] * 3 + [{}] * 20 + [IDLE | {"h1": 5.0}] * 20 + [IDLE | {"h1": 8.0}] * 3 + [{}] * 3),  # the closed cycle's time stands
+        ("long_loaded_runs", [IDLE] * 3 + ([{}] * 25 + [IDLE] * 5) * 5 + [{}]),
+        ("oil_temperature_rising", [(IDLE if i % 200 >= 12 else {}) | {"oil_temperature": 40 + i / 60} for i in range(3, 2000)]),
+        ("low_oil_level", [{"oil_level": 0}] * 70 + [{}] * 25),  # not clear before it has been off for 300 s
         ("reservoir_pressure_mismatch", [{"reservoirs": 8.6}] * 70),
         ("low_oil_level", [{"oil_level": 0}] * 70),
         ("flow_pulses_missing", [{"caudal_impulses": 1}] * 140),
@@ -47,6 +53,28 @@ def test_rule_fires(spark, name, steps):
     assert name in last(spark, steps, [name])
 
 
+@pytest.mark.parametrize(
+    "name, steps",
+    [
+        ("separator_not_venting", [IDLE] * 3 + [{}] * 20 + [IDLE | {"h1": 8.0}] * 40),
+        ("low_oil_level", [{"oil_level": 0}] * 70 + [{}] * 32),
+        ("low_oil_level", ([{}] * 30 + [{"oil_level": 0}] * 20) * 3),
+        ("oil_temperature_rising", [{"oil_temperature": 40 + i / 60} for i in range(2000)]),  # no rate, so no normal one
+        ("dryer_tower_not_switching", [IDLE] * 3 + ([{}] * 5 + [IDLE] * 8) * 6),  # the towers are low for long enough
+        ("dryer_tower_not_switching", [IDLE] * 3 + ([{"towers": 1}] * 5 + [IDLE | {"towers": 1}] * 8) * 2 + [{}]),
+    ],
+)
+def test_rule_stays_silent(spark, name, steps):
+    assert last(spark, steps, [name]) == []
+
+
+def test_a_rolling_rate_raises_the_threshold_up_to_its_cap(spark):
+    cycle = [{"towers": 1}] * 12 + [IDLE] * 60  # 5 an hour: 1.8 times twice the first month's rate is above that, once there are 20 cycles
+    frame = rules.feature_frame(wide(spark, [IDLE] * 3 + cycle * 24))
+    got = [r[0] for r in frame.where("roll_rate is not null").select("roll_rate").distinct().collect()]
+    assert got == [pytest.approx(2 * rules.FIRST_MONTH["rate"])]
+
+
 def test_quiet_and_guarded_frames_fire_nothing(spark):
     normal = [{}] * 11 + [{"comp": 1, "dv_eletric": 0, "motor_current": 3.5}] * 8
     assert last(spark, normal * 3, ["stuck_loaded", "motor_current_low", "low_oil_level", "reservoir_pressure_mismatch"]) == []
@@ -56,7 +84,7 @@ def test_quiet_and_guarded_frames_fire_nothing(spark):
 
 
 def test_cycle_rules(spark):
-    cycle = [{}] * 5 + [{"comp": 1, "dv_eletric": 0, "motor_current": 0.0, "tp3": 8.0 - 0.1 * k} for k in range(8)]
+    cycle = [{"towers": 1}] * 5 + [{"comp": 1, "dv_eletric": 0, "motor_current": 0.0, "tp3": 8.0 - 0.1 * k} for k in range(8)]
     got = last(spark, [{"comp": 1, "dv_eletric": 0, "motor_current": 0.0}] * 3 + cycle * 6, ["fast_decay", "frequent_cycling", "dryer_tower_not_switching", "long_loaded_runs"])
     assert got == ["fast_decay", "frequent_cycling", "dryer_tower_not_switching"]
 
