@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,14 +15,26 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], version: list[str]) -
 
 
 def insert_ignore(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """The old rows, and those new ones whose key is not there."""
-    return old.unionByName(new.join(old.select(*key), key, "left_anti"))
+    """The old rows, and of each key that is not there one new row: the first by its other columns.
+
+    A key with a null in it is equal to none, so such rows are all inserted.
+    """
+    fresh = new.join(old.select(*key), key, "left_anti")
+    whole = F.lit(True)
+    for k in key:
+        whole = whole & F.col(k).isNotNull()
+    rest = [c for c in new.columns if c not in key] or key
+    first = fresh.where(whole).withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy(*rest))).where("_k = 1").drop("_k")
+    return old.unionByName(first).unionByName(fresh.where(~whole))
 
 
 def retain(df: DataFrame, ts: str, days: int) -> DataFrame:
     """Rows no older than so many days before the newest."""
-    newest = df.agg(F.max(ts).alias("_newest"))
-    return df.crossJoin(F.broadcast(newest)).where(F.unix_micros(ts) >= F.unix_micros("_newest") - days * 86_400_000_000).drop("_newest")
+    newest = df.agg(F.max(ts)).first()[0]
+    if newest is None:
+        return df.limit(0)
+    # a literal bound reaches the scan
+    return df.where(F.col(ts) >= F.lit(newest - timedelta(days=days)))
 
 
 def page(df: DataFrame, ts: str, key: str, size: int, before: tuple | None = None) -> DataFrame:
