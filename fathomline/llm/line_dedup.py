@@ -4,7 +4,7 @@ A line is the set of its character shingles: eight characters from every charact
 line is one shingle. Its signature comes from one hash of every shingle: the hash space is cut into
 ``BANDS`` ranges, and a band's key is made of the ROWS smallest hashes from the start of its range,
 so two lines share a key with a probability near the ROWS-th power of their Jaccard similarity, and
-at 0.8 share some key in over 99 of 100 cases.
+at 0.8 share some key in about 98 of 100 cases.
 
 Repeated lines are folded into one row with their first place before anything is shuffled by band.
 Then, in this order:

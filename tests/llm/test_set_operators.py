@@ -110,15 +110,16 @@ def test_lines_that_differ_after_a_words_start_stay(spark):
     assert sorted(r.text for r in got) == sorted(apart) and all(r.n_dropped == 0 for r in got)
 
 
-def test_no_pair_of_a_crowded_bucket_is_left_out(spark, monkeypatch):
+@pytest.mark.parametrize("n", [2, 15])  # a bucket compared pair by pair, and one by prefixes
+def test_no_pair_of_a_crowded_bucket_is_left_out(spark, monkeypatch, n):
     from fathomline.llm import line_dedup
 
-    monkeypatch.setattr(line_dedup, "_banded", lambda lines: lines.withColumn("bands", F.array(F.lit(1).cast("long"))))
+    monkeypatch.setattr(line_dedup, "_band_keys", lambda line: F.array(F.lit(1).cast("long")))
     rng = random.Random(4)
-    lines = ["".join(rng.choices("abcdefghij ", k=120)).strip() for _ in range(15)]
+    lines = ["".join(rng.choices("abcdefghij ", k=120)).strip() for _ in range(n)]
     rows = [(i + 100 * j, line + end) for i, line in enumerate(lines) for j, end in enumerate(["", " x", " yz"])]
     got = dedup_lines(spark.createDataFrame(rows, DOCS)).collect()
-    assert {r.doc_id for r in got if r.text} == set(range(15))
+    assert {r.doc_id for r in got if r.text} == set(range(n))
 
 
 def test_packing_is_whole_and_tight(spark):
