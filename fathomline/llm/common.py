@@ -30,6 +30,11 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new name in the shared folder."""
+    return f"{shared_dir(spark)}/fathomline/{label}-{uuid.uuid4().hex}"
+
+
 def stash(df: DataFrame, label: str = "t") -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
@@ -37,7 +42,7 @@ def stash(df: DataFrame, label: str = "t") -> DataFrame:
     since the files don't live on it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/fathomline/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
+from .common import scratch_path, stash
 from .decontaminate import mark_contamination
 from .html_extract import extract_text
 from .line_dedup import dedup_lines
@@ -16,6 +17,7 @@ from .surrogates import replace_entities
 from .toxicity import fit_toxicity, is_held_out, score_toxicity
 from .url_filter import CONTRACT_RULES, judge_urls, rules_frame
 from .vamana import build_index, search
+from .warc import assemble, read_records, resolve, write_archives
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +81,14 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "archives")
+    write_archives(table(spark, sf_dir, "pages"), path)
+    captures = stash(assemble(stash(read_records(spark, path, payload=False), "records")), "captures")
+    key = lambda of: F.col(f"{of}.fields")["key"].cast("long")
+    return resolve(captures).select(key("metadata").alias("page_id"), "payload_bytes", "payload_digest", "record_type", key("original").alias("refers_to"))
+
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 OP1_SQL = rf"""
@@ -139,6 +149,20 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
 FROM p LEFT JOIN (SELECT * FROM j WHERE k = 1) USING (rid)
 """
 
+OP11_SQL = """
+WITH p AS (
+  SELECT page_id, row_number() OVER () AS rid, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+r AS (
+  SELECT *, first_value(page_id) OVER w AS top, row_number() OVER w AS k
+  FROM p WINDOW w AS (PARTITION BY hex ORDER BY page_id DESC NULLS LAST, rid))
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         ((CAST('0x' || substr(hex, CAST((i // 4) * 5 + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) + 1, 1)), '') AS payload_digest,
+       CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN k > 1 THEN top END AS refers_to
+FROM r
+"""
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_toxicity": op2_toxicity,
@@ -150,10 +174,12 @@ QUERIES = {
     "op8_jaccard": op8_jaccard,
     "op9_urls": op9_urls,
     "op10_html": op10_html,
+    "op11_warc": op11_warc,
 }
 
 SQL = {
     "op1_decontaminate": OP1_SQL,
     "op8_jaccard": OP8_SQL,
     "op9_urls": OP9_SQL,
+    "op11_warc": OP11_SQL,
 }
