@@ -7,8 +7,8 @@ the HTTP head and the payload's digest and name the response in WARC-Refers-To.
 shuffled to find copies; payloads move once, in a join that Spark splits where a digest is hot,
 and not at all where the table of copies is small enough to be broadcast by its measured size.
 
-Reading: the text reader cuts a file (plain, or gzip by file or by record) at ``CRLF CRLF WARC/``, so a task holds one
-record at a time. A payload may hold that very text: stretches are glued until the block has the
+Reading: the text reader cuts a file (plain, or gzip by file or by record) at lines that begin with ``WARC/``, so a task holds one
+record at a time. A payload may hold such a line: stretches are glued until the block has the
 length its head states. A file that isn't compressed may be cut between tasks, so its stretches are
 put in order by file first.
 
@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from .common import stash
 
 CRLF = "\r\n"
-#: What the reader cuts at: the end of a record and the start of the next one's version.
-CUT = "\r\n\r\nWARC/"
+#: What the reader cuts at: a line that begins like a record. No end of it is a start of it; the text reader misses such a cut where its buffer ends in the overlap.
+CUT = "\nWARC/"
 CAPTURES = ("response", "revisit", "resource")
 SAME_PAYLOAD = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 #: Payload bytes gathered before a batch of records leaves a task.

@@ -119,6 +119,15 @@ def test_long_plain_file_keeps_its_order(spark, tmp_path):
     assert {r.record_id: bytes(r.payload) for r in got} == {f"<{k}>": b for k, b in enumerate(blocks)}
 
 
+@pytest.mark.parametrize("packed", [True, False])
+def test_no_record_is_lost_where_a_buffer_ends(spark, tmp_path, packed):
+    blocks = [b"\r\n" * (k % 60) for k in range(4000)]
+    data = b"".join(record("resource", b, WARC_Record_ID=f"<{k}>", Content_Type="text/plain") for k, b in enumerate(blocks))
+    (tmp_path / ("d.warc.gz" if packed else "d.warc")).write_bytes(gzip.compress(data) if packed else data)
+    got = read_records(spark, str(tmp_path)).collect()
+    assert {r.record_id: bytes(r.payload) for r in got} == {f"<{k}>": b for k, b in enumerate(blocks)}
+
+
 def test_a_file_that_is_no_archive_is_an_error(spark, tmp_path):
     (tmp_path / "c.warc").write_bytes(b"hello")
     with pytest.raises(Exception, match="does not start with a WARC record"):
