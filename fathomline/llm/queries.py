@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from .common import scratch_path, stash
+from .common import once, scratch_path, stash
 from .decontaminate import mark_contamination
 from .html_extract import extract_text
 from .line_dedup import dedup_lines
 from .packing import pack
+from .periodic_runs import find_runs
 from .secrets import scan_secrets
 from .shingle_join import link_documents
+from .source_audit import divergences
 from .surrogates import replace_entities
 from .toxicity import fit_toxicity, is_held_out, score_toxicity
 from .url_filter import CONTRACT_RULES, judge_urls, rules_frame
@@ -89,6 +91,47 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve(captures).select(key("metadata").alias("page_id"), "payload_bytes", "payload_digest", "record_type", key("original").alias("refers_to"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergences(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+def repeated_tails(docs: DataFrame) -> DataFrame:
+    """The documents of the op13 contract: of one in ten, the words from some place on repeat what begins there."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def tail(words: Column) -> Column:
+        n = F.size(words).cast("long")
+        a = F.pmod(g, n)
+        p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
+        place = lambda i: F.when(i >= a, a + F.pmod(i - a, p)).otherwise(i).cast("int")
+        return F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(words, place(i))), " ")
+
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    changed = once(words, lambda w: F.when(F.size(w) > 0, tail(w)).otherwise(""))
+    return docs.withColumn("text", F.when(F.pmod(h, F.lit(10)) == 0, changed).otherwise(F.col("text")))
+
+
+def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_runs(repeated_tails(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    run = "struct<start:long,length:long,period:long>"
+    longer = lambda best, r: best["length"].isNull() | (r["length"] * best["period"] > best["length"] * r["period"])
+    best = F.aggregate("runs", F.lit(None).cast(run), lambda best, r: F.when(longer(best, r), r).otherwise(best))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    told = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(told, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 OP1_SQL = rf"""
@@ -163,6 +206,34 @@ SELECT page_id, payload_bytes,
 FROM r
 """
 
+OP12_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+t AS (SELECT rid, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS total FROM t GROUP BY ALL HAVING count(DISTINCT rid) >= 10),
+v AS (SELECT lang, count(*) AS v, sum(total) AS all_n FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+o AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS own_n FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+s AS (
+  SELECT o.lang, o.source, k.term, coalesce(n, 0) AS n,
+         CAST(1 + CAST(coalesce(n, 0) + 2 AS HUGEINT) * 1000000000 // (own_n + 2 * v) AS BIGINT) AS p,
+         CAST(1 + CAST(total + 2 AS HUGEINT) * 1000000000 // (all_n + 2 * v) AS BIGINT) AS q
+  FROM o JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+e AS (
+  SELECT a.lang, a.source, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS BIGINT) AS value
+  FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (
+  SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0) AS value
+  FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN e ON e.lang = x.lang AND e.source = x.source AND e.item = y.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM s WHERE n > 0 AND p > q),
+w AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, rank FROM w WHERE part = 'pair' OR rank <= 10
+"""
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_toxicity": op2_toxicity,
@@ -175,6 +246,8 @@ QUERIES = {
     "op9_urls": op9_urls,
     "op10_html": op10_html,
     "op11_warc": op11_warc,
+    "op12_divergence": op12_divergence,
+    "op13_periods": op13_periods,
 }
 
 SQL = {
@@ -182,4 +255,5 @@ SQL = {
     "op8_jaccard": OP8_SQL,
     "op9_urls": OP9_SQL,
     "op11_warc": OP11_SQL,
+    "op12_divergence": OP12_SQL,
 }
