@@ -64,3 +64,31 @@ def upsert_sink(path: str, key: list[str], version: list[str]):
         new.write.mode("overwrite").parquet(f"{path}/v{number}")
 
     return write
+
+
+def ticket_stream(events: DataFrame, silence_s: float, lateness: str = "10 minutes") -> DataFrame:
+    """The fold of ``operators.tickets`` over a stream of events with a time ``ts``; an event-time timer ends silent episodes of units without events.
+
+    Events of one micro-batch are put in order; one older than what its unit has seen counts at its own time.
+    """
+    from ..operators.tickets import CHANGE, COLUMNS, EVENTS, Unit
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        unit = Unit(state.get[0] if state.exists else None, silence_s)
+        rows: list[tuple] = []
+        for b in batches:
+            rows += b[list(EVENTS)].itertuples(index=False, name=None)
+        rows = [tuple(None if x is None or x != x else x for x in r) for r in rows]
+        out: list[tuple] = []
+        for r in sorted(rows, key=lambda r: (r[2], r[3])):
+            out += unit.step(int(r[0]), int(r[1]), int(r[2]), int(r[3]), *r[4:])
+        if state.hasTimedOut:
+            out += unit.advance(int(key[0]), state.getCurrentWatermarkMs() * 1000)
+        state.update((unit.text,))
+        due = unit.next_end()
+        if due is not None:
+            state.setTimeoutTimestamp(max(due // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=COLUMNS)
+
+    marked = events.withWatermark("ts", lateness)
+    return marked.groupBy("unit_id").applyInPandasWithState(run, CHANGE, "text string", "append", GroupStateTimeout.EventTimeTimeout)
