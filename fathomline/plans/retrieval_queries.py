@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import expressions as x
 from ..operators import retrieval as r
 from ..operators import stateful
+from ..operators.alarms import hysteresis_events
+from ..operators.matching import DIRECTIONS, judged_scores
 from ..operators.text import chunks, furniture, sections, sentences
 from ..sources.bridge import TELEMETRY_SQL, telemetry
 from ..sources.tables import table
@@ -107,24 +109,43 @@ def prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.prefix_join(ch, causes, "ref", "section").groupBy(F.col("cause").alias("section")).agg(F.count(F.lit(1)).alias("pages"))
 
 
-MOVES = """mv AS (SELECT DISTINCT l_suppkey % 20 AS fault, l_partkey % 12 AS signal, CASE WHEN l_suppkey * l_partkey % 3 = 0 THEN 'up' ELSE 'down' END AS direction FROM lineitem),
-m1 AS (SELECT fault, signal, min(direction) AS direction FROM mv GROUP BY ALL),
-ob AS (SELECT o_orderkey AS event, o_custkey % 12 AS signal, CASE WHEN o_orderkey % 2 = 0 THEN 'up' ELSE 'down' END AS direction FROM orders),
+#: The direction words in order, with the question and what they ask for.
+WORDS = ", ".join(f"({k}, '{word}', '{kind}', {f"'{want}'" if want else 'NULL'})" for k, (word, (kind, want)) in enumerate(DIRECTIONS.items()))
+LEVELS = ("far_below_normal", "below_normal", "normal", "normal", "normal", "above_normal", "far_above_normal")
+TRENDS = ("falling", "flat", "flat", "rising", "erratic", "stuck", "rising_sharply", "flat")
+MOVES = f"""wo(k, direction, kind, want) AS (VALUES {WORDS}),
+mv AS (SELECT DISTINCT l_suppkey % 20 AS fault, l_partkey % 12 AS signal, l_suppkey * 7 % 60 + l_partkey % 12 AS h FROM lineitem),
+m1 AS (SELECT fault, signal, kind, want FROM (SELECT fault, signal, min(h) % 21 AS k FROM mv GROUP BY ALL) JOIN wo USING (k)),
+ob AS (SELECT o_orderkey AS event, o_custkey % 12 AS signal, {list(LEVELS)}[o_orderkey % 7 + 1] AS level, {list(TRENDS)}[o_orderkey % 8 + 1] AS trend,
+         CASE o_orderkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS usual FROM orders),
+o2 AS (SELECT *, level LIKE '%above%' AS up, level LIKE '%below%' AS down, trend LIKE 'rising%' AS rise, trend LIKE 'falling%' AS fall, trend NOT IN ('flat', 'stuck') AS moved, level = 'normal' AND trend IN ('flat', 'stuck') AS rest,
+         CASE WHEN level LIKE '%above%' THEN true WHEN level LIKE '%below%' THEN false ELSE usual END AS reads FROM ob),
 n AS (SELECT fault, count(*) AS moves FROM m1 GROUP BY fault),
-j AS (SELECT event, fault, count(*) FILTER (ob.direction = m1.direction) AS m, count(*) FILTER (ob.direction <> m1.direction) AS c FROM m1 JOIN ob USING (signal) GROUP BY ALL),
+ve AS (SELECT event, fault, CASE kind
+    WHEN 'state' THEN CASE WHEN NOT up AND NOT down THEN 0 WHEN up = (want = 'above') THEN 1 ELSE -1 END
+    WHEN 'movement' THEN CASE WHEN (want = 'above' AND (up OR rise)) OR (want = 'below' AND (down OR fall)) THEN 1 WHEN up OR down OR rise OR fall THEN -1 ELSE 0 END
+    WHEN 'steady' THEN CASE WHEN level = 'normal' AND trend = 'flat' THEN 1 ELSE -1 END
+    WHEN 'unsettled' THEN CASE WHEN trend = 'erratic' THEN 1 WHEN trend IN ('flat', 'stuck') THEN -1 ELSE 0 END
+    WHEN 'toggles' THEN CASE WHEN moved THEN 1 WHEN trend = 'stuck' THEN -1 WHEN rest THEN 0 ELSE -1 END
+    WHEN 'no_pulse' THEN CASE WHEN trend = 'stuck' THEN 1 WHEN moved THEN -1 WHEN rest THEN 0 ELSE 1 END
+    ELSE CASE WHEN kind = 'holds' AND moved THEN -1 WHEN reads IS NULL THEN 0 WHEN reads <> (want = 'on') THEN -1 WHEN rest THEN 0 ELSE 1 END END AS verdict
+  FROM m1 JOIN o2 USING (signal)),
+j AS (SELECT event, fault, count(*) FILTER (verdict = 1) AS m, count(*) FILTER (verdict = -1) AS c FROM ve GROUP BY ALL),
 sc AS (SELECT event, fault, m, c, round(greatest(0, least(1, (m - 0.5 * c) / moves)), 6) AS score FROM j JOIN n USING (fault))"""
 
 
 def move_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
-    mv = li.select((F.col("l_suppkey") % 20).alias("fault"), (F.col("l_partkey") % 12).alias("signal"), F.when(F.col("l_suppkey") * F.col("l_partkey") % 3 == 0, "up").otherwise("down").alias("direction"))
-    mv = mv.groupBy("fault", "signal").agg(F.min("direction").alias("direction"))
-    o = table(spark, sf_dir, "orders")
-    ob = o.select(F.col("o_orderkey").alias("event"), (F.col("o_custkey") % 12).alias("signal"), F.when(F.col("o_orderkey") % 2 == 0, "up").otherwise("down").alias("direction"))
-    return r.move_scores(mv, ob).withColumn("score", F.round("score", 6))
+    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    pick = lambda words, at: F.element_at(F.array(*map(F.lit, words)), (at + 1).cast("int"))
+    mv = li.select((F.col("l_suppkey") % 20).alias("fault"), (F.col("l_partkey") % 12).alias("signal"), (F.col("l_suppkey") * 7 % 60 + F.col("l_partkey") % 12).alias("h"))
+    mv = mv.groupBy("fault", "signal").agg(pick(DIRECTIONS, F.min("h") % len(DIRECTIONS)).alias("direction"))
+    key = F.col("o_orderkey")
+    usual = F.when(key % 3 == 0, True).when(key % 3 == 1, False)
+    ob = o.select(key.alias("event"), (F.col("o_custkey") % 12).alias("signal"), pick(LEVELS, key % 7).alias("level"), pick(TRENDS, key % 8).alias("trend"), usual.alias("usual"))
+    return judged_scores(mv, ob).withColumn("score", F.round("score", 6))
 
 
-@query("move_match_score", f"{MOVES} SELECT event, fault, m AS matches, c AS contradictions, score FROM sc")
+@query("move_match_score", f"{MOVES} SELECT event, fault, m AS matches, c AS contradictions, moves - m - c AS silent, score FROM sc JOIN n USING (fault)")
 def move_match_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return move_scores(spark, sf_dir)
 
@@ -200,9 +221,20 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry(spark, sf_dir).select("unit_id", "seq", F.unix_micros("sim_ts").alias("t_us"), "v")
 
 
-@query("alarm_hysteresis")
+@query("alarm_hysteresis", f"""{TELEMETRY_SQL},
+a AS (SELECT unit_id, seq, epoch_us(sim_ts) AS t, v, lag(epoch_us(sim_ts)) OVER (PARTITION BY unit_id ORDER BY sim_ts, seq) AS p FROM tel),
+b AS (SELECT *, sum(CASE WHEN t - p > 7200000000 THEN 1 ELSE 0 END) OVER (PARTITION BY unit_id ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS seg FROM a),
+k AS (SELECT *, sum(CASE WHEN v <= 60 THEN 1 ELSE 0 END) OVER (PARTITION BY unit_id, seg ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS isl FROM b),
+i AS (SELECT *, min(CASE WHEN v > 60 THEN t END) OVER (PARTITION BY unit_id, seg, isl) AS since FROM k),
+w AS (SELECT *, CASE WHEN v > 60 AND t - since >= 600000000 THEN 1 WHEN v < 40 THEN 0 END AS word FROM i),
+u AS (SELECT *, coalesce(last_value(word IGNORE NULLS) OVER (PARTITION BY unit_id, seg ORDER BY t, seq ROWS UNBOUNDED PRECEDING), 0) AS up FROM w),
+x AS (SELECT *, coalesce(lag(up) OVER (PARTITION BY unit_id, seg ORDER BY t, seq), 0) AS was, coalesce(lag(up) OVER (PARTITION BY unit_id ORDER BY t, seq), 0) AS any_was, lag(seg) OVER (PARTITION BY unit_id ORDER BY t, seq) AS pseg FROM u),
+y AS (SELECT *, last_value(CASE WHEN up > was THEN since END IGNORE NULLS) OVER (PARTITION BY unit_id, seg ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS raised FROM x)
+SELECT unit_id, seq, t AS t_us, 'raise' AS kind, since AS since_us FROM y WHERE up > was
+UNION ALL SELECT unit_id, seq, t, 'clear', raised FROM y WHERE up < was
+UNION ALL SELECT unit_id, seq, t, 'reset', p FROM y WHERE seg <> pseg AND any_was = 1""")
 def alarm_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stateful.run_batch(samples(spark, sf_dir), stateful.Hysteresis(60.0, 40.0, 600, 7200))
+    return hysteresis_events(samples(spark, sf_dir), 60.0, 40.0, 600, 7200)
 
 
 @query("redecision_cadence")
