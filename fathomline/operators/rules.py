@@ -178,15 +178,30 @@ def registry() -> dict[str, Rule]:
     }
 
 
-def evaluate(frame: DataFrame, rules: dict[str, Rule] | None = None) -> DataFrame:
+#: A frame that repeats these of the one before is stale.
+FROZEN = ("tp2", "tp3", "h1", "oil_temperature", "motor_current")
+
+
+def emitted(frame: DataFrame) -> DataFrame:
+    """The samples at which a frame is handed on: the first of a minute, of a machine state or of a segment."""
+    unit = Window.partitionBy("unit_id").orderBy("sim_ts", "seq")
+    minute = F.floor(_seconds() / 60)
+    changed = ~minute.eqNullSafe(F.lag(minute).over(unit)) | ~F.col("mode").eqNullSafe(F.lag("mode").over(unit)) | (F.col("reset") == 1)
+    return frame.withColumn("_emit", changed).where("_emit").drop("_emit")
+
+
+def evaluate(frame: DataFrame, rules: dict[str, Rule] | None = None, stale: bool = False) -> DataFrame:
     """The frame with ``rule_ids``, the rules that fire at each sample in registry order.
 
     A rule fires once its predicate has held for its hold time, and until it has been false for as
-    long; a gap or a guarded sample clears every timer. A null predicate is false.
+    long; a gap or a guarded sample clears every timer, and with ``stale`` a frame that repeats the one before does. A null
+    predicate is false.
     """
     rules = rules or {k: r for k, r in registry().items() if r.on}
     seg = Window.partitionBy("unit_id", "segment").orderBy("sim_ts", "seq")
-    guarded = F.col("guard").isNotNull()
+    repeats = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lag(c).over(seg)) for c in FROZEN]) & (F.row_number().over(seg) > 1)
+    frame = frame.withColumn("_guarded", F.col("guard").isNotNull() | (repeats if stale else F.lit(False)))
+    guarded = F.col("_guarded")
     turned = (~guarded.eqNullSafe(F.lag(guarded).over(seg))).cast("int")
     frame = frame.withColumn("_turned", turned).withColumn("_epoch", F.sum("_turned").over(seg.rowsBetween(Window.unboundedPreceding, 0)))
     epoch = Window.partitionBy("unit_id", "segment", "_epoch").orderBy("sim_ts", "seq")
@@ -202,7 +217,7 @@ def evaluate(frame: DataFrame, rules: dict[str, Rule] | None = None) -> DataFram
             fires = F.last("_said", ignorenulls=True).over(epoch.rowsBetween(Window.unboundedPreceding, 0))
             frame = frame.withColumn(f"_on_{name}", F.coalesce(fires, F.lit(False))).drop("_run", "_said")
     ids = F.array_compact(F.array(*[F.when(F.col(f"_on_{n}"), F.lit(n)) for n in rules]))
-    return frame.withColumn("rule_ids", ids).drop("_turned", "_epoch", *[f"_on_{n}" for n in rules])
+    return frame.withColumn("rule_ids", ids).drop("_turned", "_epoch", "_guarded", *[f"_on_{n}" for n in rules])
 
 
 def any_of(names: list[str]) -> Column:

@@ -426,15 +426,3 @@ def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings of 20 or less stand in for missing cells."""
     df = telemetry(spark, sf_dir).withColumn("v", F.when(F.col("v") > 20, F.col("v")))
     return recordings.carried(df, ["v"], ["unit_id"], ["sim_ts", "seq"]).select("unit_id", "seq", "v")
-
-
-@query("feature_rules")
-def feature_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sixteen rules over a frame whose tags all follow from the event's value and type."""
-    tel = telemetry(spark, sf_dir)
-    v = F.col("v")
-    tags = {"tp2": v / 10 + 0.05, "tp3": v / 10, "h1": v / 11, "dv_pressure": v / 100, "reservoirs": v / 10 + F.when(F.col("tag") == "error", 0.5).otherwise(0.0), "oil_temperature": v, "comp": F.col("intake_closed").cast("int"), "dv_eletric": F.col("load_valve").cast("int")}
-    tags |= {"towers": (F.col("seq") % 2).cast("int"), "lps": (F.col("tag") == "error").cast("int"), "oil_level": (F.col("tag") != "signup").cast("int"), "caudal_impulses": (F.col("seq") % 3 == 0).cast("int")}
-    wide = tel.select("unit_id", "seq", "sim_ts", "motor_current", *[c.alias(n) for n, c in tags.items()])
-    out = rules_.evaluate(rules_.feature_frame(wide, gap_s=14400), rules_.registry())
-    return out.where(F.size("rule_ids") > 0).select("unit_id", "seq", F.array_join("rule_ids", ",").alias("rule_ids"))

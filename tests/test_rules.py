@@ -116,3 +116,22 @@ def test_api(spark):
     assert rest[0] == first[5]
     with pytest.raises(ValueError):
         api.read_page(df, "sim_ts", "id", 0)
+
+
+def test_frames_are_emitted_at_minutes_states_and_resets(spark):
+    t0 = 1_700_000_040
+    rows = [(1, k, t0 + s, mode, reset) for k, (s, mode, reset) in enumerate([(0, "off", 0), (10, "off", 0), (20, "loaded", 0), (30, "loaded", 0), (60, "loaded", 0), (70, "loaded", 1), (80, "loaded", 0), (200, None, 0), (210, None, 0)])]
+    frame = spark.createDataFrame(rows, "unit_id long, seq long, t long, mode string, reset int").withColumn("sim_ts", F.timestamp_seconds("t"))
+    assert [r.seq for r in rules.emitted(frame).orderBy("seq").collect()] == [0, 2, 4, 5, 7]
+
+
+def test_a_stale_frame_clears_timers(spark):
+    t0 = 1_700_000_040
+    held = {"r": rules.Rule(F.col("v") > 0, 30, "s", "low")}
+    # the value v isn't one of the frozen tuple's signals; tp2 repeats at 40
+    rows = [(1, 0, k, t0 + 10 * k, 1.0, None, float(tp2)) for k, tp2 in enumerate([1, 2, 3, 4, 4, 5, 6, 7, 8])]
+    frame = spark.createDataFrame(rows, "unit_id long, segment long, seq long, t long, v double, guard string, tp2 double").withColumn("sim_ts", F.timestamp_seconds("t"))
+    frame = frame.withColumns({c: F.lit(1.0) for c in rules.FROZEN if c != "tp2"})
+    fired = lambda stale: [r.seq for r in rules.evaluate(frame, held, stale).where(F.size("rule_ids") > 0).orderBy("seq").collect()]
+    assert fired(False) == [3, 4, 5, 6, 7, 8]
+    assert fired(True) == [3, 8]
