@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import expressions as x
 from ..operators import decisions as d
 from ..operators import intervals, tables
+from ..operators.documents import newest
 from ..sources.bridge import DECISIONS_SQL, TELEMETRY_SQL, WINDOWS_SQL, decisions, telemetry, windows
 from ..sources.tables import table
 from .retrieval_queries import MOVES, move_scores
@@ -156,3 +157,18 @@ def headline_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = windows(spark, sf_dir).where(F.col("accepted").startswith("1"))
     out = d.headline_check(wanted, matched(spark, sf_dir).where("verdict = 'tp'"), "window_id")
     return out.select(F.array_join(F.col("detected").cast("array<string>"), ",").alias("detected"), F.array_join(F.col("missed").cast("array<string>"), ",").alias("missed"), "pass")
+
+
+@query("document_replace", """l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS chunk FROM documents WHERE text IS NOT NULL),
+b AS (SELECT doc_id, chunk, line, 0 AS batch, false AS deleted FROM l UNION ALL SELECT doc_id, chunk, 'v2 ' || line, 1, false FROM l WHERE doc_id % 5 = 0 AND chunk % 2 = 1 UNION ALL SELECT doc_id, NULL, NULL, 2, true FROM documents WHERE doc_id % 15 = 0),
+n AS (SELECT *, max(batch) OVER (PARTITION BY doc_id) AS last FROM b)
+SELECT doc_id, count(*) AS chunks, max(batch) AS batch, sum(length(line)) AS chars FROM n WHERE batch = last AND NOT deleted GROUP BY doc_id""")
+def document_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth document is replaced by its odd lines, every fifteenth is deleted after that."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lines = docs.where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("chunk", "line"))
+    row = lambda df, line, batch, gone: df.select("doc_id", "chunk", line.alias("line"), F.lit(batch).alias("batch"), F.lit(gone).alias("deleted"))
+    again = lines.where("doc_id % 5 = 0 and chunk % 2 = 0")
+    gone = docs.where("doc_id % 15 = 0").select("doc_id", F.lit(None).cast("int").alias("chunk"))
+    rows = row(lines, F.col("line"), 0, False).union(row(again, F.concat(F.lit("v2 "), "line"), 1, False)).union(row(gone, F.lit(None).cast("string"), 2, True))
+    return newest(rows, "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.max("batch").alias("batch"), F.sum(F.length("line")).alias("chars"))
