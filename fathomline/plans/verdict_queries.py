@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import preregistered as pre
 from ..operators import verdicts as v
 from ..operators.decisions import NONE_OF_THESE
 from ..sources.tables import table
+from .signal_queries import _U, _bytes, _fold, _number
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -114,3 +118,43 @@ def design_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     choice = F.when(F.col("o_orderkey") % 11 == 0, NONE_OF_THESE).otherwise(F.col("o_orderpriority"))
     decided = r["orders"].select("scenario", F.col("o_orderkey").alias("decision_id"), "t_us", choice.alias("choice"))
     return v.design_choices(targets(r["orders"]), r["windows"].where("window_id % 10 = 0"), decided)
+
+
+#: The grid, the incumbent and the limits of the choice; a decision is right on urgent orders.
+GRID = [(p, t, r) for p in (0, 1, 2) for t in (0.8, 0.85, 0.9) for r in (0.5, 0.6)]
+INCUMBENT, SEED, RESAMPLES = (1, 0.85, 0.6), "choice-1", 20
+LIMITS = (0.9, 2.0)
+_draw = _U(_fold(f"list_concat({_bytes('sd')}, {_number('resample')}, {_number('day')}, {_number('resample')})"))
+_steps = " ".join(f"WHEN u < {sum(1 / math.factorial(i) for i in range(k + 1)) * math.exp(-1)!r}::DOUBLE THEN {k}" for k in range(pre.MOST_COPIES))
+
+
+@query(
+    "preregistered_triple",
+    f"""g(persist, ticket, review) AS (VALUES {", ".join(f"({p}, {t}::DOUBLE, {r}::DOUBLE)" for p, t, r in GRID)}),
+de AS (SELECT date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS day, o_orderkey * 37 % 100 / 100 AS c, o_orderkey % 3 AS held, o_orderpriority = '1-URGENT' AS good FROM orders),
+bd AS (SELECT persist, ticket, review, day, count(*) FILTER (good AND held >= persist AND c >= review) AS pos, count(*) FILTER (NOT good AND held >= persist AND c >= ticket) AS ft,
+         count(*) FILTER (NOT good AND held >= persist AND c >= review AND c < ticket) AS fr FROM de CROSS JOIN g GROUP BY ALL),
+dr AS (SELECT day, resample, {_draw} AS u FROM (SELECT DISTINCT day, 'choice-1' AS sd FROM de) CROSS JOIN (SELECT unnest(range({RESAMPLES})) AS resample)),
+w AS (SELECT day, resample, CASE {_steps} ELSE {pre.MOST_COPIES} END AS w FROM dr),
+ra AS (SELECT persist, ticket, review, resample, sum(w * pos) / sum(w) AS pos, sum(w * ft) / sum(w) AS ft, sum(w * fr) / sum(w) AS fr FROM bd JOIN w USING (day) GROUP BY ALL),
+fi AS (SELECT persist, ticket, review, round(max(ft), 9) AS worst_tickets, round(max(fr), 9) AS worst_reviews, round(quantile_cont(pos, 0.5), 9) AS median_positives, round(quantile_cont(fr, 0.5), 9) AS mr, round(quantile_cont(ft, 0.5), 9) AS mt FROM ra GROUP BY ALL),
+ju AS (SELECT *, worst_tickets <= {LIMITS[0]} AND worst_reviews <= {LIMITS[1]} AS qualifies, persist <> {INCUMBENT[0]} AS other, round(abs(ticket - {INCUMBENT[1]}) + abs(review - {INCUMBENT[2]}), 9) AS far FROM fi)
+SELECT persist, ticket, review, worst_tickets, worst_reviews, median_positives, qualifies,
+       CASE WHEN qualifies THEN CAST(row_number() OVER (PARTITION BY qualifies ORDER BY median_positives DESC, mr, mt, other, far, ticket DESC, review DESC, persist DESC) AS INTEGER) END AS rank FROM ju""",
+)
+def preregistered_triple(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All triples of the grid, judged on twenty resamples of days; the grid is a parameter of so many rows."""
+    k = F.col("o_orderkey")
+    grid = F.explode(F.array(*[F.struct(F.lit(p).alias("persist"), F.lit(t).alias("ticket"), F.lit(r).alias("review")) for p, t, r in GRID]))
+    de = table(spark, sf_dir, "orders").select(F.date_diff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")).alias("day"), (k * 37 % 100 / 100).alias("c"), (k % 3).alias("held"), (F.col("o_orderpriority") == "1-URGENT").alias("good"))
+    held = de.select("*", grid.alias("g")).select("*", "g.*")
+    kept = F.col("held") >= F.col("persist")
+    by_day = held.groupBy(*pre.TRIPLE, "day").agg(
+        F.count_if(F.col("good") & kept & (F.col("c") >= F.col("review"))).alias("positives"),
+        F.count_if(~F.col("good") & kept & (F.col("c") >= F.col("ticket"))).alias("false_tickets"),
+        F.count_if(~F.col("good") & kept & (F.col("c") >= F.col("review")) & (F.col("c") < F.col("ticket"))).alias("false_reviews"),
+    )
+    figures = ["positives", "false_tickets", "false_reviews"]
+    sums = pre.resampled(by_day, figures, RESAMPLES, SEED)
+    rates = sums.select(*pre.TRIPLE, "resample", *[(F.col(c) / F.col("days")).alias(c) for c in figures])
+    return pre.triple_verdicts(rates, INCUMBENT, *LIMITS)
