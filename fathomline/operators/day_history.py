@@ -9,18 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .chunks import look_back_chunks
+
 #: The look-back, the cycles that make an onset or a level, those whose median counts, and the longest idle phase.
 DAY_US = 86_400_000_000
 LEAST, RECENT, MAX_IDLE_S = 3, 5, 6 * 3600
 
 
-def look_back_chunks(df: DataFrame, t_us: str, chunk_us: int, copies: int = 1) -> DataFrame:
-    """``df`` with ``chunk`` and ``own``: each row in its own chunk of time, and copied into the next ``copies`` for what looks back there."""
-    at = F.floor(F.col(t_us) / chunk_us)
-    df = df.withColumn("chunk", F.explode(F.sequence(at, at + copies)))
-    return df.withColumn("own", F.col("chunk") == F.floor(F.col(t_us) / chunk_us))
-
-
 def quiet_hours_of(counts: Column) -> Column:
     """The hours (0 to 23) with fewer cycles than half way from the fewest to the median of 24 counts; none where those are equal."""
     s = F.array_sort(counts)
@@ -43,7 +38,7 @@ def day_decay(cycles: DataFrame, quiet_hours: Column) -> DataFrame:
     middle = F.timestamp_micros(((F.col("cutout_us") + F.col("end_us")) / 2).cast("long"))
     entries = cycles.where(F.col("decay").isNotNull() & (F.col("idle_s") <= MAX_IDLE_S))
     entries = entries.select("unit_id", "end_us", "decay", "fast", F.array_contains(quiet_hours, F.hour(middle)).alias("_quiet"))
-    df = look_back_chunks(entries, "end_us", DAY_US)
+    df = look_back_chunks(entries, "end_us", DAY_US, DAY_US)
     group = Window.partitionBy("unit_id", "chunk").orderBy("end_us")
     frame = group.rangeBetween(1 - DAY_US, 0)
     fast = [F.coalesce(F.lag("fast", k).over(group), F.lit(False)) for k in range(LEAST)]

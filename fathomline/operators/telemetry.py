@@ -1,7 +1,7 @@
 """Telemetry operators: folds, runs, cycles, trailing frames, rules and sessions.
 
-Everything is partitioned by unit (and by segment or run within it); a deployment with few units
-and long histories adds a day or month to the keys of the folds, which need no order.
+Everything is partitioned by unit (and by segment or run within it). Trailing frames, which cost most, are worked out by
+chunks of time too: a chunk is CHUNKS frames long and holds copies of the frame before it.
 """
 
 from __future__ import annotations
@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import machine_state
+from .chunks import look_back_chunks
 
 ORDER = ("sim_ts", "seq")
+CHUNKS = 8
 
 
 def micros(c: str | Column) -> Column:
@@ -116,14 +118,21 @@ def range_frame(secs: float, partition: tuple = ("unit_id", "tag")) -> Window:
     return Window.partitionBy(*partition).orderBy(micros("sim_ts")).rangeBetween(-int(secs * 1_000_000), 0)
 
 
+def by_chunks(df: DataFrame, secs: float) -> DataFrame:
+    """Rows by the chunks of time that their trailing frames of ``secs`` need; where ``own`` is false a row is there to be looked at."""
+    us = int(secs * 1_000_000)
+    return look_back_chunks(df.withColumn("_us", micros("sim_ts")), "_us", CHUNKS * us, us).drop("_us")
+
+
 def trailing(tel: DataFrame, secs: float, at_least: int = 3) -> DataFrame:
     """Framed count, least, greatest, median, spread and slope a minute of each unit's tag."""
-    w = range_frame(secs)
+    w = range_frame(secs, ("unit_id", "tag", "chunk"))
     base = F.min(seconds("sim_ts")).over(Window.partitionBy("unit_id", "tag"))
-    df = tel.withColumn("t", seconds("sim_ts") - base)
+    df = by_chunks(tel.withColumn("t", seconds("sim_ts") - base), secs)
     n = F.count("v").over(w)
     enough = n >= at_least
-    return df.select(
+    framed = df.select(
+        "own",
         "unit_id",
         "tag",
         "seq",
@@ -134,6 +143,7 @@ def trailing(tel: DataFrame, secs: float, at_least: int = 3) -> DataFrame:
         F.when(enough, F.round(F.stddev_samp("v").over(w), 5)).alias("spread"),
         F.when(enough, F.round(F.regr_slope("v", "t").over(w) * 60, 5)).alias("slope"),
     )
+    return framed.where("own").drop("own")
 
 
 def since_change(tel: DataFrame, what: str = "tag") -> DataFrame:
@@ -148,16 +158,17 @@ def frames(tel: DataFrame, secs: float) -> DataFrame:
     """The feature frame the rules read: state, run time and trailing figures at every sample."""
     df = with_runs(with_state(tel), "mode")
     start = F.min(seconds("sim_ts")).over(Window.partitionBy("unit_id", "run_id"))
-    w = Window.partitionBy("unit_id").orderBy(micros("sim_ts")).rangeBetween(-int(secs * 1_000_000), 0)
+    df = by_chunks(df.withColumn("run_s", F.round(seconds("sim_ts") - start, 3)), secs)
+    w = range_frame(secs, ("unit_id", "chunk"))
     err = F.sum((F.col("tag") == "error").cast("int")).over(w)
-    return df.select(
-        "unit_id", "seq", "sim_ts", "mode", "v",
-        F.round(seconds("sim_ts") - start, 3).alias("run_s"),
+    framed = df.select(
+        "unit_id", "seq", "sim_ts", "mode", "v", "run_s", "own",
         F.count("v").over(w).alias("n"),
         F.round(F.percentile("v", F.lit(0.5)).over(w), 6).alias("median_v"),
         F.min("v").over(w).alias("min_v"),
         err.alias("errors"),
     )
+    return framed.where("own").drop("own")
 
 
 def fired(frame: DataFrame, rules: dict[str, Column]) -> DataFrame:
