@@ -375,11 +375,38 @@ def series_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.minutes(telemetry(spark, sf_dir), 8)
 
 
+#: Picks follow one another by bucket; px: the points kept.
+LTTB = """,
+pa AS (SELECT unit_id, tag, seq, epoch_us(sim_ts) AS t, v, row_number() OVER (PARTITION BY unit_id, tag ORDER BY sim_ts, seq) - 1 AS i, count(*) OVER (PARTITION BY unit_id, tag) AS n FROM tel WHERE v IS NOT NULL),
+pb AS (SELECT *, CASE WHEN i = 0 THEN -1 WHEN i = n - 1 THEN 98 ELSE (SELECT max(k) FROM range(98) x(k) WHERE k * (n - 2) // 98 <= i - 1) END AS b FROM pa WHERE n > 100),
+pm AS (SELECT unit_id, tag, b, avg(t) AS mt, avg(v) AS mv FROM pb GROUP BY ALL),
+pr AS (
+  SELECT unit_id, tag, CAST(-1 AS BIGINT) AS b, CAST(seq AS BIGINT) AS seq, CAST(t AS BIGINT) AS t, v FROM pb WHERE i = 0
+  UNION ALL
+  SELECT unit_id, tag, b, ps, pt, pv FROM (
+    SELECT r.unit_id, r.tag, CAST(r.b + 1 AS BIGINT) AS b, p.seq AS ps, p.t AS pt, p.v AS pv, p.i AS pi, abs((r.t - mt) * (p.v - r.v) - (r.t - p.t) * (mv - r.v)) AS a
+    FROM pr r JOIN pb p ON p.unit_id = r.unit_id AND p.tag = r.tag AND p.b = r.b + 1 JOIN pm m ON m.unit_id = r.unit_id AND m.tag = r.tag AND m.b = r.b + 2)
+  QUALIFY row_number() OVER (PARTITION BY unit_id, tag, b ORDER BY a DESC, pi) = 1),
+px AS (SELECT unit_id, tag, seq, t, v FROM pr UNION ALL SELECT unit_id, tag, seq, t, v FROM pb WHERE i = n - 1 UNION ALL SELECT unit_id, tag, seq, t, v FROM pa WHERE n <= 100)"""
+
+
 @query("series_lttb")
 def series_lttb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.lttb(telemetry(spark, sf_dir), 100)
 
 
+@query("series_lttb_broken")
+def series_lttb_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The decimated series with breaks where points are over six hours apart."""
+    return series.broken_at_gaps(series.lttb(telemetry(spark, sf_dir), 100), HOURS6 * 1_000_000)
+
+
+SQL["series_lttb"] = f"WITH RECURSIVE {TELEMETRY_SQL}{LTTB} SELECT unit_id, tag, seq, t AS t_us, v FROM px"
+SQL["series_lttb_broken"] = f"""WITH RECURSIVE {TELEMETRY_SQL}{LTTB},
+pg AS (SELECT *, lag(t) OVER (PARTITION BY unit_id, tag ORDER BY t, seq) AS p FROM px)
+SELECT unit_id, tag, seq, t AS t_us, v FROM px UNION ALL SELECT unit_id, tag, NULL, p + (t - p) // 2, NULL FROM pg WHERE t - p > {HOURS6 * 1_000_000}"""
+
+
 @query("dedup_sequence", """ SELECT unit_id, seq, epoch_us(min(sim_ts)) AS t_us FROM tel GROUP BY unit_id, seq""")
 def dedup_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     tel = telemetry(spark, sf_dir)
