@@ -179,7 +179,11 @@ def chunk_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").withColumn("p", sentences(F.col("text"))).select("doc_id", F.size("p").cast("long").alias("sentences"), F.coalesce(F.array_max(F.transform("p", lambda y: F.length(y))), F.lit(0)).cast("long").alias("longest"))
 
 
-@query("text_chunks")
+@query("text_chunks", """p AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '[.!?]\\s+'), lambda y: trim(regexp_replace(y, '\\s+', ' ', 'g'))), lambda y: y <> '') AS p FROM documents),
+s AS (SELECT doc_id, unnest(p) AS sentence, unnest(range(len(p))) AS pos FROM p),
+c AS (SELECT *, len(string_split(sentence, ' ')) AS n, CAST(floor(coalesce(sum(len(string_split(sentence, ' '))) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 200) AS BIGINT) AS chunk FROM s),
+g AS (SELECT doc_id, chunk, CAST(sum(n) AS BIGINT) AS words, string_agg(sentence, '. ' ORDER BY pos) AS t, arg_max(sentence, pos) AS last FROM c GROUP BY ALL)
+SELECT doc_id, chunk, words, concat_ws('. ', lag(last) OVER (PARTITION BY doc_id ORDER BY chunk), t) AS text FROM g""")
 def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(table(spark, sf_dir, "documents"), 200)
 
@@ -242,6 +246,18 @@ def redecision_cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stateful.run_batch(samples(spark, sf_dir), stateful.Cadence(50.0, 3600, 14400))
 
 
+#: Firing by firing: a decision opens an hour in which none follows, a silence of four hours opens anew.
+SQL["redecision_cadence"] = f"""WITH RECURSIVE {TELEMETRY_SQL},
+f AS (SELECT unit_id, seq, epoch_us(sim_ts) AS t, row_number() OVER (PARTITION BY unit_id ORDER BY sim_ts, seq) AS n FROM tel WHERE v > 50),
+r AS (
+  SELECT unit_id, n, seq, t, t AS decided, 'open' AS kind, t AS since FROM f WHERE n = 1
+  UNION ALL
+  SELECT f.unit_id, f.n, f.seq, f.t, CASE WHEN f.t - r.t > 14400000000 OR f.t - r.decided >= 3600000000 THEN f.t ELSE r.decided END,
+         CASE WHEN f.t - r.t > 14400000000 THEN 'open' WHEN f.t - r.decided >= 3600000000 THEN 'decide' END, CASE WHEN f.t - r.t > 14400000000 THEN f.t ELSE r.decided END
+  FROM r JOIN f ON f.unit_id = r.unit_id AND f.n = r.n + 1)
+SELECT unit_id, seq, t AS t_us, kind, since AS since_us FROM r WHERE kind IS NOT NULL"""
+
+
 @query("heartbeat_silence", f"""{TELEMETRY_SQL}, g AS (SELECT unit_id, sim_ts, lag(sim_ts) OVER (PARTITION BY unit_id ORDER BY sim_ts, seq) AS p FROM tel)
 SELECT unit_id, epoch_us(p) + 5400000000 AS raised_us, epoch_us(sim_ts) AS cleared_us FROM g WHERE epoch_us(sim_ts) - epoch_us(p) > 5400000000""")
 def heartbeat_silence(spark: SparkSession, sf_dir: str) -> DataFrame:
