@@ -78,6 +78,41 @@ def match_tickets(tickets: DataFrame, windows: DataFrame) -> DataFrame:
     return tickets.join(own.select("ticket_id", "window_id", "accepted", "verdict"), "ticket_id", "left").withColumn("verdict", F.coalesce("verdict", F.lit("fp")))
 
 
+def confusion(tickets: DataFrame, windows: DataFrame, excluded: DataFrame, benign: list[str]) -> DataFrame:
+    """(ticket_id, unit_id, window_id, verdict, recovered) of each ticket against positive windows.
+
+    In a window: tp, duplicate, ``benign`` for a benign fault that the window doesn't accept, else misdiagnosed; a true positive after
+    a misdiagnosis of its window is recovered. Elsewhere: ``ignored`` in an excluded span (unit_id, from_ts, to_ts), ``benign``, else fp.
+    """
+    own = match_tickets(tickets, windows)
+    spared = points_in(tickets.select("unit_id", "ticket_id", "opened"), "opened", excluded).select("ticket_id", F.lit(True).alias("_spared")).distinct()
+    harmless, held = F.col("fault").isin(benign), F.col("window_id").isNotNull()
+    verdict = (
+        F.when(held & harmless & (F.col("verdict") == "misdiagnosed"), "benign")
+        .when(held, F.col("verdict"))
+        .when(F.col("_spared"), "ignored")
+        .when(harmless, "benign")
+        .otherwise("fp")
+    )
+    own = own.join(spared, "ticket_id", "left").withColumn("verdict", verdict)
+    # tickets of no window are windows of their own here, so that none of these groups is larger than a window's tickets
+    group = F.coalesce(F.col("window_id").cast("string"), F.concat(F.lit("t"), F.col("ticket_id").cast("string")))
+    before = Window.partitionBy(group).orderBy("opened", "ticket_id").rowsBetween(Window.unboundedPreceding, -1)
+    wrong = F.coalesce(F.bool_or(F.col("verdict") == "misdiagnosed").over(before), F.lit(False))
+    return own.withColumn("recovered", (F.col("verdict") == "tp") & wrong).select("ticket_id", "unit_id", "window_id", "verdict", "recovered")
+
+
+def comparison(figures: DataFrame, lower_is_better: list[str]) -> DataFrame:
+    """(metric, backend, cases, mean, place) of figures (backend, case, metric, v): the mean over cases of each case's mean, and its place among backends.
+
+    Place 1 is the best, equal means share a place; a metric that is better low is ranked from the least. Null figures don't count.
+    """
+    case = figures.where("v is not null").groupBy("metric", "backend", "case").agg(F.avg("v").alias("v"))
+    mean = case.groupBy("metric", "backend").agg(F.count(F.lit(1)).alias("cases"), F.round(F.avg("v"), 9).alias("mean"))
+    good = F.when(F.col("metric").isin(lower_is_better), -F.col("mean")).otherwise(F.col("mean"))
+    return mean.withColumn("place", F.rank().over(Window.partitionBy("metric").orderBy(good.desc())))
+
+
 def precision_recall(matched: DataFrame, windows: DataFrame) -> DataFrame:
     """Counts, precision and recall by fault; null where a denominator is zero."""
     said = matched.groupBy("fault").agg(F.count_if(F.col("verdict") == "tp").alias("tp"), F.count_if(F.col("verdict").isin("fp", "misdiagnosed")).alias("fp"))

@@ -167,6 +167,33 @@ def compare_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.select("metric", *[F.round(c, 6).alias(c.lower()) for c in ("F", "O", "P")])
 
 
+@query("confusion_counters", f"""{WINDOWS_SQL}, {TICKETS_SQL},
+po AS (SELECT * FROM win WHERE accepted <> '5-LOW'),
+h AS (SELECT t.*, window_id, from_ts, fault = accepted AS acc FROM tic t JOIN po w ON t.unit_id = w.unit_id AND opened >= from_ts AND opened < to_ts),
+o AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY ticket_id ORDER BY acc DESC, from_ts, window_id) = 1),
+v AS (SELECT *, CASE WHEN acc THEN CASE WHEN row_number() OVER (PARTITION BY window_id, acc ORDER BY opened, ticket_id) = 1 THEN 'tp' ELSE 'duplicate' END WHEN fault = '4-NOT SPECIFIED' THEN 'benign' ELSE 'misdiagnosed' END AS verdict FROM o),
+r AS (SELECT ticket_id, unit_id, verdict, verdict = 'tp' AND EXISTS (SELECT 1 FROM v m WHERE m.window_id = v.window_id AND m.verdict = 'misdiagnosed' AND (m.opened, m.ticket_id) < (v.opened, v.ticket_id)) AS recovered FROM v
+  UNION ALL SELECT ticket_id, unit_id, CASE WHEN EXISTS (SELECT 1 FROM win e WHERE accepted = '5-LOW' AND e.unit_id = t.unit_id AND opened >= from_ts AND opened < to_ts) THEN 'ignored' WHEN fault = '4-NOT SPECIFIED' THEN 'benign' ELSE 'fp' END, false
+  FROM tic t WHERE ticket_id NOT IN (SELECT ticket_id FROM v))
+SELECT unit_id, verdict, recovered, count(*) AS tickets FROM r GROUP BY ALL""")
+def confusion_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of one fault are excluded spans here, another fault is benign."""
+    w = windows(spark, sf_dir)
+    judged = intervals.confusion(tickets(spark, sf_dir), w.where("accepted <> '5-LOW'"), w.where("accepted = '5-LOW'"), ["4-NOT SPECIFIED"])
+    return judged.groupBy("unit_id", "verdict", "recovered").agg(F.count(F.lit(1)).alias("tickets"))
+
+
+@query("backend_comparison", f"""{DECISIONS_SQL},
+c AS (SELECT backend, choice, avg(confidence) AS confidence, avg(CASE WHEN confidence < 0.6 THEN 1.0 ELSE 0.0 END) AS log_share, count(*) FILTER (confidence >= 0.85) AS tickets FROM dec GROUP BY ALL),
+l AS (UNPIVOT (SELECT backend, choice, confidence, CAST(log_share AS DOUBLE) AS log_share, CAST(tickets AS DOUBLE) AS tickets FROM c) ON confidence, log_share, tickets INTO NAME metric VALUE v),
+m AS (SELECT metric, backend, count(*) AS cases, round(avg(v), 9) AS mean FROM l GROUP BY ALL)
+SELECT metric, backend, cases, mean, CAST(rank() OVER (PARTITION BY metric ORDER BY CASE WHEN metric = 'log_share' THEN mean ELSE -mean END) AS INTEGER) AS place FROM m""")
+def backend_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each choice is a case; a low share of logged decisions is better."""
+    per = decisions(spark, sf_dir).groupBy("backend", F.col("choice").alias("case")).agg(F.avg("confidence").alias("confidence"), F.avg(F.when(F.col("confidence") < 0.6, 1.0).otherwise(0.0)).alias("log_share"), F.count_if(F.col("confidence") >= 0.85).cast("double").alias("tickets"))
+    return intervals.comparison(per.unpivot(["backend", "case"], ["confidence", "log_share", "tickets"], "metric", "v"), ["log_share"])
+
+
 COST = f"""{CALLS_SQL}, led AS (SELECT *, CAST((CAST(tokens_in AS DECIMAL(12,0)) * price_in + CAST(tokens_out AS DECIMAL(12,0)) * price_out) / 1000000 AS DOUBLE) AS cost FROM cal)"""
 
 
