@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -74,6 +75,12 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, chars: int = 2_000_00
             part = batch.slice(start, end - start)
             yield part, part.column(at).to_pylist()
             start = end
+    give_back()
+
+
+def give_back() -> None:
+    """Return memory that nothing holds any more: workers live on, and share an executor with what comes after."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only where the C library has it
     if trim:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, stash
+from .common import give_back, sliced, stash
 
 SIZE = 2048
 END = (0).to_bytes(4, "little")
@@ -130,7 +130,8 @@ def cut(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
             cols = list(zip(*rows))
             kinds = (arrow_id, pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[id_col, "piece", "start", "length", "ids_crc32"])
-        _state.get("chunks", {}).clear()  # the worker may go on with another operator
+        _state.clear()  # the worker may go on with another operator; a task loads the tables in a fraction of a second
+        give_back()
 
     kind = id_type.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long")
