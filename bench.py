@@ -10,7 +10,7 @@ import time
 from fathomline.plans import QUERIES
 from fathomline.session import build_session
 
-HEADLINE = "minute_aggregate state_runs load_cycles trailing_features rule_raw_conditions rule_hold_islands episode_sessions label_instants ticket_match precision_recall cost_ledger cost_by_backend_argmax threshold_sweep vector_topk move_match_score rules_decision series_minmax alarm_hysteresis".split()
+HEADLINE = "minute_aggregate state_runs load_cycles trailing_features rule_raw_conditions rule_hold_islands episode_sessions label_instants ticket_match precision_recall cost_ledger cost_by_backend_argmax threshold_sweep vector_topk move_match_score rules_decision series_minmax alarm_hysteresis feature_rules".split()
 
 
 def main() -> None:
