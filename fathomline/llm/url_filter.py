@@ -4,7 +4,8 @@ Every URL is expanded into (host suffix, path prefix) expressions. Rules are sto
 first ``PREFIX_HEX`` hex digits of the SHA-256 of their expression; an equi-join on those short
 prefixes proposes rules, the full digest confirms them, and the longest confirmed rule decides.
 
-Work is done per distinct URL, so a URL that a third of the rows repeat is judged once; the
+A host's suffixes are cut at the labels of the rules' longest host, so a host of many thousands of
+labels costs no more than another. Work is done per distinct URL, so a URL that a third of the rows repeat is judged once; the
 verdicts of URLs that fit some rule go back to the rows by an equi-join that adaptive execution
 may split. Everything is DataFrame code.
 """
@@ -14,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import once
+
 PREFIX_HEX = 8
 
 #: Fixed values of the op9 contract: (verdict, host, path prefix).
@@ -66,19 +69,20 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
 
     Null URLs and URLs without ``://`` have an empty host and path, fit no rule and get
     ``default``. Repeated rows are kept as they are. Columns named host, path, rule or verdict
-    that ``pages`` already has are replaced. The set of path-prefix lengths in the rules is
-    read first (it is as long as the longest rule path at most), so a rule path may end anywhere,
-    not only at a slash.
+    that ``pages`` already has are replaced. The set of path-prefix lengths in the rules and the most
+    labels of a rule's host are read first (as many rows as the longest rule path has characters at
+    most), so a rule path may end anywhere, not only at a slash.
     """
-    lengths = sorted(r[0] for r in rules.select(F.length("rule_path")).distinct().collect())
+    shapes = rules.groupBy(F.length("rule_path").alias("n")).agg(F.max(F.size(F.split("rule_host", r"\."))).alias("labels")).collect()
+    lengths, most = sorted(r.n for r in shapes), max((r.labels for r in shapes), default=1)
     pages = pages.drop(*[c for c in ("host", "path", "rule", "verdict") if c != url_col])
     pages = pages.withColumn("host", host_of(F.col(url_col))).withColumn("path", path_of(F.col(url_col)))
     urls = pages.where(F.col("host") != "").groupBy("host", "path").agg(F.count(F.lit(1)).alias("_n"))
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    ends = once(F.slice(labels, F.greatest(F.size(labels) - most + 1, F.lit(1)), most), lambda kept: F.transform(F.sequence(F.lit(1), F.size(kept)), lambda i: F.array_join(F.slice(kept, i, most), ".")))
     prefixes = F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]) if lengths else F.array().cast("array<string>")
     expressions = (
-        urls.select("host", "path", F.explode(suffixes).alias("_suffix"), prefixes.alias("_prefixes"))
+        urls.select("host", "path", F.explode(ends).alias("_suffix"), prefixes.alias("_prefixes"))
         .select("host", "path", "_suffix", F.explode(F.filter("_prefixes", lambda p: p.isNotNull())).alias("_head"))
         .withColumn("_digest", digest_of(F.col("_suffix"), F.col("_head")))
         .withColumn("prefix", F.substring("_digest", 1, PREFIX_HEX))
