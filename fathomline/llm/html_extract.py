@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,6 +37,14 @@ FURNITURE = frozenset(
 COMMENTS = frozenset(["comment", "comments", "commentlist", "reply", "replies"])
 #: Of these words, those that may also name a part of an article when they stand in it.
 MILD = frozenset(["header", "notice", "side", "search"])
+#: Of these words, those with meanings outside of page furniture: alone, they don't condemn prose.
+WEAK = frozenset("alert banner complementary dialog footer foot header menu modal notice notices overlay popup rail recommended related reply replies respond search share sharing side sidebar skip social toolbar widget".split())
+#: Last words of compound names that only say that something is a box or a list (``share-buttons``).
+SHELL = frozenset("area bar block body box button buttons card cards col column container content form group icon icons inner item items label link links list module outer panel post posts region row section slot space stories text title toggle tools unit wrap wrapper zone".split())
+#: Elements that hold running text themselves.
+PROSE = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 dd td figcaption".split())
+#: Elements that keep a paragraph outside of them open.
+BARRIERS = ("td", "th", "table", "div", "li", "article", "section", "body", "button", "caption")
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*')?)*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([A-Za-z][\w:-]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
@@ -47,14 +56,23 @@ COMMA = re.compile("[,،、，]")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "names", "plain", "hidden", "score", "size", "links", "holds")
+    __slots__ = ("tag", "parent", "children", "names", "plain", "loose", "label", "hidden", "score", "size", "links", "anchors", "fields", "holds", "inside", "after")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
         self.tag, self.parent, self.children = tag, parent, []
         #: Words of the names of furniture in class, id and role, and those of them that are a whole name.
         self.names: frozenset = frozenset()
         self.plain = False
+        #: Whether every such name is a weak word before a noun of another kind (``share-price``).
+        self.loose = True
+        #: The class as it stands.
+        self.label = ""
         self.hidden = False
+        #: Whether an article or main element is around.
+        self.inside = False
+        #: Whether a paragraph stands before it in its parent.
+        self.after = False
+        self.anchors = self.fields = 0
         #: Whether an article or main element is below.
         self.holds = False
         self.score = 0.0
@@ -62,68 +80,76 @@ class Node:
         if attributes and ("=" in attributes or "hidden" in attributes):
             for m in ATTRIBUTE.finditer(attributes):
                 name = m[1].lower()
+                if name == "class":
+                    self.label = (m[2] or "").strip("\"'").lower()
                 if name in ("class", "id", "role"):
                     for one in (m[2] or "").strip("\"'").lower().split():
                         words = WORD.findall(one)
                         if words and words[0] not in ABOUT and not FURNITURE.isdisjoint(words):
                             self.names |= FURNITURE.intersection(words)
                             self.plain = self.plain or len(words) == 1
+                            self.loose = self.loose and len(words) > 1 and words[-1] not in FURNITURE | SHELL and FURNITURE.intersection(words) <= WEAK
                 elif name == "hidden":
                     self.hidden = True
 
 
 def parse(page: str) -> Node:
-    """A tree of the page. Unclosed paragraphs, items and cells end where HTML ends them; stray end tags are skipped."""
-    root = node = Node("#root", None)
+    """A tree of the page. Unclosed paragraphs, items and cells end where HTML ends them; stray end tags are skipped.
+
+    The places of open elements are kept by tag, so each tag is read in one step, whatever is open.
+    """
+    root = Node("#root", None)
+    open_nodes, places = [root], defaultdict(list)
     at, end = 0, len(page)
+
+    def last(*tags: str) -> int:
+        return max((places[t][-1] for t in tags if places[t]), default=0)
+
+    def close(place: int) -> None:
+        while len(open_nodes) > place:
+            places[open_nodes.pop().tag].pop()
+
     while at < end:
         m = TOKEN.search(page, at)
         if not m:
-            node.children.append(page[at:])
+            open_nodes[-1].children.append(page[at:])
             break
         if m.start() > at:
-            node.children.append(page[at : m.start()])
+            open_nodes[-1].children.append(page[at : m.start()])
         at = m.end()
         if not m[2]:
             if m[0].startswith("<![CDATA["):
-                node.children.append(html.escape(m[0][9:].removesuffix("]]>")))
+                open_nodes[-1].children.append(html.escape(m[0][9:].removesuffix("]]>")))
             continue
         tag = m[2].lower()
         if m[1]:
-            up = node
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                node = up.parent
+            if last(tag):
+                close(last(tag))
             continue
-        if tag in CLOSES_P:
-            up = node
-            while up is not root and up.tag not in ("p", "td", "th", "table", "div", "li", "article", "section", "body", "button", "caption"):
-                up = up.parent
-            if up.tag == "p":
-                node = up.parent
+        if places["p"] and tag in CLOSES_P and last("p") > last(*BARRIERS):
+            close(last("p"))
         if tag in CLOSED_BY_SAME:
             alike = ("dt", "dd") if tag in ("dt", "dd") else ("td", "th") if tag in ("td", "th") else (tag,)
-            up = node
-            while up is not root and up.tag not in alike and up.tag not in CLOSED_BY_SAME[tag]:
-                up = up.parent
-            if up.tag in alike:
-                node = up.parent
+            if last(*alike) > last(*CLOSED_BY_SAME[tag]):
+                close(last(*alike))
+        node = open_nodes[-1]
         made = Node(tag, node, m[3])
         node.children.append(made)
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = close.end() if close else end
+            ended = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            at = ended.end() if ended else end
         elif tag not in VOID and not m[3].rstrip().endswith("/"):
-            node = made
+            places[tag].append(len(open_nodes))
+            open_nodes.append(made)
     return root
 
 
 def _furniture(node: Node, inside: bool, most: float) -> bool:
     """Whether an element is page furniture; within an article, its own header is part of it.
 
-    What holds the article, or more than ``most`` characters in a form or under a name of several words
-    (``share-price``), is the page's content whatever it is called.
+    What holds the article, or more than ``most`` characters in a form or under a name of several words,
+    is the page's content whatever it is called. A weak word condemns neither an article's paragraph nor
+    what another noun follows (``share-price``), unless it is mostly links or holds a form.
     """
     if node.tag == "form" and not node.hidden and (node.holds or node.size > most):
         return False
@@ -134,21 +160,27 @@ def _furniture(node: Node, inside: bool, most: float) -> bool:
     if node.tag == "header":
         return not inside
     names = node.names - MILD if inside else node.names
+    doubtful = node.loose or (inside and node.tag in PROSE and names <= WEAK)
+    if names and doubtful and _density(node) < 0.3 and not node.fields:
+        return False
     return bool(names) and not node.holds and (node.plain or node.size <= most)
 
 
 def _measure(root: Node) -> None:
-    """The size of the readable text below each element, and whether an article is below."""
+    """The size of the readable text and of links below each element, its form fields, and whether an article is below."""
     order = [root]
     for node in order:
         order += [c for c in node.children if not isinstance(c, str)]
     for node in reversed(order):
         if node.tag in RAW:
+            node.parent.fields += node.tag == "textarea"
             continue
         node.size += sum(len(c.strip()) for c in node.children if isinstance(c, str))
         up = node.parent
         if up is not None:
             up.size += node.size
+            up.links += node.size if node.tag == "a" else node.links
+            up.fields += node.fields + (node.tag in ("form", "input", "select", "button"))
             up.holds = up.holds or node.holds or node.tag in ("article", "main")
 
 
@@ -158,6 +190,7 @@ def _prune(root: Node) -> None:
     most = root.size / 2
     order: list[tuple[Node, bool]] = [(root, False)]
     for node, inside in order:  # grows while it is read: parents before children
+        node.inside = inside
         within = inside or node.tag in ("article", "main")
         kept = []
         for c in node.children:
@@ -168,7 +201,8 @@ def _prune(root: Node) -> None:
                 order.append((c, within))
         node.children = kept
     for node, _ in reversed(order):
-        node.size = 0
+        node.size = node.links = 0
+        after = False
         for c in node.children:
             if isinstance(c, str):
                 n = len(c.strip())
@@ -176,6 +210,9 @@ def _prune(root: Node) -> None:
             else:
                 node.size += c.size
                 node.links += c.size if c.tag == "a" else c.links
+                node.anchors += 1 if c.tag == "a" else c.anchors
+                c.after = after
+                after = after or (c.tag == "p" and c.size > 0 and _density(c) < 0.25)
     for node, _ in order:
         if node.tag in PARAGRAPH or (node.tag == "div" and any(isinstance(c, str) and c.strip() for c in node.children)):
             if not node.size:
@@ -218,6 +255,9 @@ def _best(root: Node) -> list[Node]:
     for c in best.parent.children:
         if isinstance(c, str):
             continue
+        if c.tag == best.tag and c.label == best.label and c.size and _density(c) < 0.25:  # a section like the best one, however short
+            kept.append(c)
+            continue
         reads = c.tag in ("p", "h1", "h2", "h3") and _density(c) < 0.25 and c.size > 0
         if c is best or reads or c.score * (1 - _density(c)) >= max(3.0, 0.2 * top):
             kept.append(c)
@@ -225,22 +265,10 @@ def _best(root: Node) -> list[Node]:
 
 
 def _menu(node: Node) -> bool:
-    """A list or box that is little more than links; what an article or main element holds is its own."""
-    up = node.parent
-    while up is not None and up.tag not in ("article", "main"):
-        up = up.parent
-    return up is None and node.tag in ("ul", "ol", "div", "section") and _density(node) > 0.6 and node.size > 0 and sum(1 for _ in _anchors(node)) > 1
-
-
-def _anchors(node: Node):
-    stack = [node]
-    while stack:
-        for c in stack.pop().children:
-            if not isinstance(c, str):
-                if c.tag == "a":
-                    yield c
-                else:
-                    stack.append(c)
+    """A list or box that is little more than links; what an article or main element holds, or follows a paragraph beside it, is its own."""
+    if node.inside or node.tag not in ("ul", "ol", "div", "section") or node.anchors < 2 or not node.size or _density(node) <= 0.6:
+        return False
+    return node.tag not in ("ul", "ol") or not node.after or node.parent.tag in ("body", "html", "#root")
 
 
 def _blocks(nodes: list[Node]) -> list[str]:
@@ -285,7 +313,7 @@ def main_text(page: str | None) -> str:
 def extract_text(pages: DataFrame, html_col: str = "html", into: str = "text") -> DataFrame:
     """``pages`` without the html, with the main text in ``into`` and its code points in n_chars.
 
-    Null and empty pages have empty text. Whole pages are read, however long. Repeated rows give
+    Null and empty pages have empty text, an empty table gives an empty one. Whole pages are read, however long. Repeated rows give
     repeated results. Columns named ``into`` or n_chars that ``pages`` already has are replaced.
     """
     kept = without(pages, [into, "n_chars"], [html_col])

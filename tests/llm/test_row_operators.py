@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -118,6 +119,35 @@ def test_extraction(spark):
     assert [r.n_chars for r in got][1:4] == [0, 0, 100_000] and all(len(r.text) == r.n_chars for r in got)
 
 
+def test_extraction_keeps_what_only_sounds_like_furniture():
+    prose = "A sentence with, several, commas in it that goes on for a good while. " * 3
+    article = f"<article><h1>T</h1><p>{prose}</p><p class='reply'>Interviewee reply here.</p><p class='dialog'>Hello said he.</p><p class='related'>See <a href=1>one of the related</a></p><p class='ad'>Buy now</p></article>"
+    assert main_text(article) == f"T\n{prose.strip()}\nInterviewee reply here.\nHello said he."
+    menu = "<div class=menu><a href=1>a</a><a href=2>b</a></div><ul><li><a href=1>Home</a><li><a href=2>About</a></ul>"
+    links = "<ul><li><a href=1>First link</a><li><a href=2>Second link</a></ul>"
+    body = f"<div><p>{prose}</p><p>{prose}</p><div class='share-price'>The share price rose.</div><div class='share-buttons'>Tweet it</div><div class='share-this'>Go <a href=1>there and share it</a></div>{links}</div>"
+    page = f"<body>{menu}<div>{body}<div><p>Short end.</p></div><div class='cookie-notice'><p>We use cookies.</p></div></div><div class=footer>x</div></body>"
+    assert main_text(page) == "\n".join([prose.strip()] * 2 + ["The share price rose.", "First link", "Second link", "Short end."])
+
+
+def test_extraction_of_damaged_pages_takes_time_in_proportion(spark):
+    began = time.monotonic()
+    for page in ("<b>" * 20_000 + "x" + "</i>" * 40_000, "<p><button>" + "<b>" * 20_000 + "<hr>" * 40_000, "<ul>" + "<b>" * 20_000 + "<li></li>" * 40_000, "<div>" * 20_000 + "<p>x <a href=1>y</a>" + "</div>" * 20_000, "<div><p>x</div>" + "<ul><li><a href=1>a</a><li><a href=1>b</a></ul>" * 10_000):
+        main_text(page)
+    assert time.monotonic() - began < 20
+    assert extract_text(spark.createDataFrame([], "page_id long, html string, text string"), "html").count() == 0
+
+
+def test_url_with_very_many_labels(spark):
+    host = "a." * 50_000 + "Example.com"
+    pages = spark.createDataFrame([(1, f"http://{host}/en/1"), (2, "http://" + "." * 1_000), (3, "http://.net/fr/")], "page_id long, url string")
+    began = time.monotonic()
+    got = {r.page_id: (r.rule, r.verdict) for r in judge_urls(pages, rules_frame(spark, CONTRACT_RULES)).collect()}
+    assert got == {1: ("example.com/en/", "block"), 2: (None, "allow"), 3: ("net/fr/", "block")}
+    assert time.monotonic() - began < 20
+    assert judge_urls(pages, rules_frame(spark, CONTRACT_RULES).limit(0)).where("rule is null and verdict = 'allow'").count() == 3
+
+
 def test_toxicity_learns_marked_words_and_survives_nothing(spark):
     rng = np.random.default_rng(1)
     vocabulary = [f"word{i}" for i in range(300)]
