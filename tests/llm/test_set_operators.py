@@ -224,3 +224,44 @@ def test_surrogates(spark):
     ips = [re.search(r"ip ([\d.]+)", text[100 + i])[1] for i in range(300)]
     assert len(set(cards)) == 300 and len(set(ips)) == 300 and not set(cards) & {str(4000000000000000 + i) for i in range(300)}
     assert {r.text for r in replace_entities(df.repartition(7), "key").collect() if r.doc_id == 1} == {text[1]}
+
+
+def test_names_keep_person_gender_script_and_particles(spark):
+    rows = [
+        (1, "Mr John Fitzgerald Kennedy met Mrs Maria del Carmen Lopez. Kennedy's plan pleased Lopez; JOHN smiled, and John Kennedy left."),
+        (2, "Mr. John Smith, Mr. Smith, Dr. J. Smith and Dr. John Smith; John Smith left, so did Smith-Smith."),
+        (3, "Mrs. Anna Weber called. Anna Weber left. Ms O'Brien and Ms O\u2019Brien too."),
+        (4, "Herr Иван Петров kam; г-жа Анна Петрова. Herr 王小明 und Mr محمد علي"),
+        (5, "王小明@example.com, 王小明@例子.com and 김@пример.ru"),
+        (6, "Mr. Thomas Bell and Mr. Thomas. Thomas Bell or Thomas"),
+        (7, "John Smith without a title elsewhere stays, he@x.org"),
+    ]
+    df = spark.createDataFrame(rows, DOCS)
+    for name in ("_id", "_th", "_own", "_given", "_parts", "_first", "_words", "_cut", "id", "pos", "kind"):
+        df = df.withColumn(name, F.lit("kept"))
+    got = replace_entities(df, "key").collect()
+    assert all(r._id == r._given == r.kind == "kept" for r in got)
+    text = {r.doc_id: r.text for r in got}
+    m = re.fullmatch(r"Mr ([\w-]+) ([\w-]+) ([\w-]+) met Mrs ([\w-]+) del ([\w-]+) ([\w-]+)\. ([\w-]+)'s plan pleased ([\w-]+); ([\w-]+) smiled, and ([\w-]+) ([\w-]+) left\.", text[1])
+    assert m and m[7] == m[3] == m[11] and m[8] == m[6] and m[9] == m[1].upper() and m[10] == m[1] and len({m[i] for i in range(1, 7)}) == 6
+    assert not re.search("John|Fitzgerald|Kennedy|Maria|Carmen|Lopez|Smith|Anna|Weber|Brien", " ".join(text[i].replace("Smith-Smith", "") for i in (1, 2, 3)))
+    n = re.fullmatch(r"Mr\. ([\w-]+) ([\w-]+), Mr\. ([\w-]+), Dr\. [A-Z]\. ([\w-]+) and Dr\. ([\w-]+) ([\w-]+); ([\w-]+) ([\w-]+) left, so did Smith-Smith\.", text[2])
+    assert n and n[1] == n[5] == n[7] == m[1] and n[2] == n[3] == n[4] == n[6] == n[8]
+    o = re.fullmatch(r"Mrs\. ([\w-]+) ([\w-]+) called\. ([\w-]+) ([\w-]+) left\. Ms ([\w-]+) and Ms ([\w-]+) too\.", text[3])
+    assert o and o[1] == o[3] and o[2] == o[4] and o[5] == o[6]
+    p = re.fullmatch(r"Herr ([а-яёА-ЯЁ-]+) ([а-яёА-ЯЁ-]+) kam; г-жа ([а-яёА-ЯЁ-]+) ([а-яёА-ЯЁ-]+)\. Herr ([\u4e00-\u9fff]{3}) und Mr ([\u0600-\u06ff]{4}) ([\u0600-\u06ff]{3})", text[4])
+    assert p and not {"Иван", "Петров", "Анна", "Петрова", "王小明", "محمد", "علي"} & set(p.groups())
+    q = re.fullmatch(r"([\u4e00-\u9fff]{3})@([a-z]{7})\.com, ([\u4e00-\u9fff]{3})@([\u4e00-\u9fff]{2})\.com and ([\uac00-\ud7a3])@([а-яё]{6})\.ru", text[5])
+    assert q and "王小明" not in text[5] and "例子" not in text[5] and q[5] != "김" and q[6] != "пример"
+    t = re.fullmatch(r"Mr\. ([\w-]+) ([\w-]+) and Mr\. ([\w-]+)\. ([\w-]+) ([\w-]+) or ([\w-]+)", text[6])
+    assert t and t[1] == t[4] and t[2] == t[5] and t[3] == t[6] != t[1]
+    assert text[7].startswith("John Smith without a title")
+
+
+def test_many_names_stay_distinct(spark):
+    count = 3_000
+    word = lambda i: "Q" + "".join(chr(97 + int(d)) for d in str(i)) + "x"
+    rows = [(i, f"Mr. {word(i)} {word(i + count)} met Frau {word(i)} {word(i + 2 * count)}") for i in range(count)]
+    got = replace_entities(spark.createDataFrame(rows, DOCS), "key").collect()
+    people = [p for r in got for p in re.fullmatch(r"Mr\. ([\w-]+) ([\w-]+) met Frau ([\w-]+) ([\w-]+)", r.text).groups()]
+    assert len(set(people)) == 4 * count and not set(people) & {word(i) for i in range(3 * count)}
