@@ -79,18 +79,23 @@ def state_runs(tel: DataFrame, gap_s: float = 60.0) -> DataFrame:
     )
 
 
-def load_cycles(tel: DataFrame, gap_s: float = 60.0, keep: int | None = None) -> DataFrame:
-    """From each cut-in to the next: times by state, samples, purge and slope; open cycles are not emitted.
-
-    An interval belongs to the state of the sample that opens it.
-    """
+def cycle_samples(tel: DataFrame, gap_s: float) -> DataFrame:
+    """Samples with mode, steps, the number of their cycle (0 before the first cut-in), seconds to the next one and since the cycle's start."""
     w = by_unit()
     df = with_steps(with_state(tel), gap_s)
     cut_in = (F.col("mode") == "loaded") & ~F.coalesce(F.lag("mode").over(w) == "loaded", F.lit(False))
     df = df.withColumn("cycle", F.sum(cut_in.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     df = df.withColumn("ahead", F.lead(seconds("sim_ts")).over(w) - seconds("sim_ts"))
     base = F.min(seconds("sim_ts")).over(Window.partitionBy("unit_id", "cycle"))
-    df = df.withColumn("t", seconds("sim_ts") - base)
+    return df.withColumn("t", seconds("sim_ts") - base)
+
+
+def load_cycles(tel: DataFrame, gap_s: float = 60.0, keep: int | None = None) -> DataFrame:
+    """From each cut-in to the next: times by state, samples, purge and slope; open cycles are not emitted.
+
+    An interval belongs to the state of the sample that opens it.
+    """
+    df = cycle_samples(tel, gap_s)
     in_state = lambda m: F.round(F.coalesce(F.sum(F.when(F.col("mode") == m, F.col("ahead"))), F.lit(0.0)), 3)
     loaded = F.col("mode") == "loaded"
     cycles = df.where("cycle > 0").groupBy("unit_id", "cycle").agg(
