@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from fathomline.functions import expressions as x
-from fathomline.operators.series import largest_triangles
+from fathomline.operators.series import lttb
 from fathomline.operators.stateful import Cadence, Hysteresis, fold
 
 
@@ -79,11 +79,8 @@ def test_machines_may_be_cut_anywhere(samples, at):
         assert first + second == whole
 
 
-def test_largest_triangles_keep_ends_and_peaks():
-    import numpy as np
-
-    t, v = np.arange(100.0), np.zeros(100)
-    v[37] = 50
-    at = largest_triangles(t, v, 10)
+def test_largest_triangles_keep_ends_and_peaks(spark):
+    df = spark.range(100).select(F.lit(1).alias("unit_id"), F.lit("x").alias("tag"), F.col("id").alias("seq"), F.timestamp_seconds("id").alias("sim_ts"), F.when(F.col("id") == 37, 50.0).otherwise(0.0).alias("v"))
+    at = sorted(r.t_us // 1_000_000 for r in lttb(df, 10).collect())
     assert at[0] == 0 and at[-1] == 99 and 37 in at and len(at) == 10
-    assert len(largest_triangles(t[:3], v[:3], 10)) == 3
+    assert lttb(df.where("seq < 3"), 10).count() == 3
