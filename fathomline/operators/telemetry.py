@@ -1,7 +1,7 @@
 """Telemetry operators: folds, runs, cycles, trailing frames, rules and sessions.
 
-Everything is partitioned by unit (and by segment or run within it). Trailing frames, which cost most, are worked out by
-chunks of time too: a chunk is CHUNKS frames long and holds copies of the frame before it.
+Everything is partitioned by unit (and by segment or run within it). Trailing frames are worked out by blocks and chunks of
+time too (``chunks``), at a cost that does not grow with the rows in a frame.
 """
 
 from __future__ import annotations
@@ -10,10 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import machine_state
-from .chunks import look_back_chunks
+from . import chunks
 
 ORDER = ("sim_ts", "seq")
-CHUNKS = 8
 
 
 def micros(c: str | Column) -> Column:
@@ -118,37 +117,17 @@ def load_cycles(tel: DataFrame, gap_s: float = 60.0, keep: int | None = None) ->
     return closed
 
 
-def range_frame(secs: float, partition: tuple = ("unit_id", "tag")) -> Window:
-    """The trailing frame of so many seconds, its lower bound included."""
-    return Window.partitionBy(*partition).orderBy(micros("sim_ts")).rangeBetween(-int(secs * 1_000_000), 0)
-
-
-def by_chunks(df: DataFrame, secs: float) -> DataFrame:
-    """Rows by the chunks of time that their trailing frames of ``secs`` need; where ``own`` is false a row is there to be looked at."""
-    us = int(secs * 1_000_000)
-    return look_back_chunks(df.withColumn("_us", micros("sim_ts")), "_us", CHUNKS * us, us).drop("_us")
-
-
 def trailing(tel: DataFrame, secs: float, at_least: int = 3) -> DataFrame:
     """Framed count, least, greatest, median, spread and slope a minute of each unit's tag."""
-    w = range_frame(secs, ("unit_id", "tag", "chunk"))
-    base = F.min(seconds("sim_ts")).over(Window.partitionBy("unit_id", "tag"))
-    df = by_chunks(tel.withColumn("t", seconds("sim_ts") - base), secs)
-    n = F.count("v").over(w)
-    enough = n >= at_least
-    framed = df.select(
-        "own",
-        "unit_id",
-        "tag",
-        "seq",
-        n.alias("n"),
-        F.min("v").over(w).alias("min_v"),
-        F.max("v").over(w).alias("max_v"),
-        F.when(enough, F.round(F.percentile("v", F.lit(0.5)).over(w), 6)).alias("median_v"),
-        F.when(enough, F.round(F.stddev_samp("v").over(w), 5)).alias("spread"),
-        F.when(enough, F.round(F.regr_slope("v", "t").over(w) * 60, 5)).alias("slope"),
-    )
-    return framed.where("own").drop("own")
+    keys, us = ("unit_id", "tag"), int(secs * 1_000_000)
+    base = F.min(seconds("sim_ts")).over(Window.partitionBy(*keys))
+    df = tel.select("unit_id", "tag", "seq", "sim_ts", "v", (seconds("sim_ts") - base).alias("t"))
+    df = chunks.with_medians(df, keys, micros("sim_ts"), {"median_v": ("v", us)})
+    v = F.col("v")
+    figures = {"n": chunks.count(v), "min_v": chunks.least(v), "max_v": chunks.greatest(v), "spread": chunks.spread(v), "slope": chunks.slope(v, F.col("t"))}
+    df = chunks.over_frames(df, keys, micros("sim_ts"), us, figures)
+    enough = lambda c, digits: F.when(F.col("n") >= at_least, F.round(c, digits))
+    return df.select("unit_id", "tag", "seq", "n", "min_v", "max_v", enough("median_v", 6).alias("median_v"), enough("spread", 5).alias("spread"), enough(F.col("slope") * 60, 5).alias("slope"))
 
 
 def since_change(tel: DataFrame, what: str = "tag") -> DataFrame:
@@ -163,17 +142,11 @@ def frames(tel: DataFrame, secs: float) -> DataFrame:
     """The feature frame the rules read: state, run time and trailing figures at every sample."""
     df = with_runs(with_state(tel), "mode")
     start = F.min(seconds("sim_ts")).over(Window.partitionBy("unit_id", "run_id"))
-    df = by_chunks(df.withColumn("run_s", F.round(seconds("sim_ts") - start, 3)), secs)
-    w = range_frame(secs, ("unit_id", "chunk"))
-    err = F.sum((F.col("tag") == "error").cast("int")).over(w)
-    framed = df.select(
-        "unit_id", "seq", "sim_ts", "mode", "v", "run_s", "own",
-        F.count("v").over(w).alias("n"),
-        F.round(F.percentile("v", F.lit(0.5)).over(w), 6).alias("median_v"),
-        F.min("v").over(w).alias("min_v"),
-        err.alias("errors"),
-    )
-    return framed.where("own").drop("own")
+    us = int(secs * 1_000_000)
+    df = df.select("unit_id", "seq", "sim_ts", "tag", "mode", "v", F.round(seconds("sim_ts") - start, 3).alias("run_s"))
+    df = chunks.with_medians(df, ("unit_id",), micros("sim_ts"), {"median_v": ("v", us)}).withColumn("median_v", F.round("median_v", 6))
+    figures = {"n": chunks.count(F.col("v")), "min_v": chunks.least(F.col("v")), "errors": chunks.total((F.col("tag") == "error").cast("int"))}
+    return chunks.over_frames(df, ("unit_id",), micros("sim_ts"), us, figures).drop("tag")
 
 
 def fired(frame: DataFrame, rules: dict[str, Column]) -> DataFrame:
