@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as x
 from ..functions.conditions import compile_condition
+from ..operators import chunks, series
 from ..operators import rules as rules_
-from ..operators import series
 from ..operators import telemetry as t
 from ..sources import recordings
 from ..sources.bridge import TELEMETRY_SQL, telemetry
@@ -98,8 +98,8 @@ def rolling_median_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two-day median of loaded times, capped at twice the first week's, and the threshold from it."""
     cycles = t.load_cycles(telemetry(spark, sf_dir), 3600)
     first = cycles.where(F.col("start_us") < 1704672000000000).agg(F.percentile("loaded_s", 0.5).alias("p50"))
-    w = Window.partitionBy("unit_id").orderBy("start_us").rangeBetween(-172800000000, 0)
-    df = cycles.select("unit_id", "cycle", F.count("loaded_s").over(w).alias("n"), F.percentile("loaded_s", F.lit(0.5)).over(w).alias("med")).crossJoin(F.broadcast(first))
+    df = chunks.with_medians(cycles.select("unit_id", "cycle", "start_us", "loaded_s"), ("unit_id",), F.col("start_us"), {"med": ("loaded_s", 172800000000)})
+    df = chunks.over_frames(df, ("unit_id",), F.col("start_us"), 172800000000, {"n": chunks.count(F.col("loaded_s"))}).crossJoin(F.broadcast(first))
     rolling = F.when(F.col("n") >= 5, F.least("med", 2 * F.col("p50")))
     return df.select("unit_id", "cycle", F.round(rolling, 4).alias("rolling"), F.round(F.greatest(F.lit(200.0), 1.5 * F.coalesce(rolling, F.lit(0.0))), 6).alias("threshold"))
 
