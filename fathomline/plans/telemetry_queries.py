@@ -108,9 +108,10 @@ def rolling_median_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT unit_id, cycle, round(CASE WHEN max(start_us) OVER f > min(start_us) OVER f THEN (count(*) OVER f - 1) * 3600000000.0 / (max(start_us) OVER f - min(start_us) OVER f) END, 6) AS rate
 FROM z WINDOW f AS (PARTITION BY unit_id ORDER BY start_us RANGE BETWEEN 21600000000 PRECEDING AND CURRENT ROW)""")
 def cycles_per_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("unit_id").orderBy("start_us").rangeBetween(-HOURS6 * 1_000_000, 0)
-    span = F.max("start_us").over(w) - F.min("start_us").over(w)
-    return t.load_cycles(telemetry(spark, sf_dir), 3600).select("unit_id", "cycle", F.round(F.when(span > 0, (F.count("n").over(w) - 1) * 3600000000.0 / span), 6).alias("rate"))
+    start = F.col("start_us")
+    df = chunks.over_frames(t.load_cycles(telemetry(spark, sf_dir), 3600), ("unit_id",), start, HOURS6 * 1_000_000, {"_n": chunks.count(start), "_first": chunks.least(start), "_last": chunks.greatest(start)})
+    span = F.col("_last") - F.col("_first")
+    return df.select("unit_id", "cycle", F.round(F.when(span > 0, (F.col("_n") - 1) * 3600000000.0 / span), 6).alias("rate"))
 
 
 @query("frozen_runs", """,
