@@ -225,10 +225,11 @@ def derived_quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = t.by_unit()
     df = t.with_steps(t.with_state(telemetry(spark, sf_dir)), 3600)
     df = df.withColumn("chg", (~F.col("mode").eqNullSafe(F.lag("mode").over(w))).cast("int"))
-    frame = Window.partitionBy("unit_id").orderBy(t.micros("sim_ts")).rangeBetween(-HOURS6 * 1_000_000, 0)
     delta = F.col("v") - F.lag("v").over(w)
     total = F.sum(F.when(F.col("mode") == "loaded", F.col("dt")).otherwise(0.0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return df.select("unit_id", "seq", F.round(delta, 6).alias("delta"), F.round(F.abs(delta), 6).alias("abs_delta"), F.round(total, 3).alias("loaded_total"), F.sum("chg").over(frame).alias("events"))
+    df = df.select("unit_id", "seq", "sim_ts", "chg", F.round(delta, 6).alias("delta"), F.round(F.abs(delta), 6).alias("abs_delta"), F.round(total, 3).alias("loaded_total"))
+    df = chunks.over_frames(df, ("unit_id",), t.micros("sim_ts"), HOURS6 * 1_000_000, {"events": chunks.total(F.col("chg"))})
+    return df.select("unit_id", "seq", "delta", "abs_delta", "loaded_total", "events")
 
 
 FRAMES = f"""{RUNS},
