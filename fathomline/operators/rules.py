@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import machine_state
+from . import chunks
 
 TAGS = "tp2 tp3 h1 dv_pressure reservoirs oil_temperature motor_current".split()
 DIGITAL = "comp dv_eletric towers lps oil_level caudal_impulses".split()
@@ -26,6 +27,8 @@ NORMAL_RATE = (1.1979, 2.1646)
 #: The separator is back at the line less a margin; a changeover is so long a low of the towers in the first part of a load.
 H1_MARGIN, H1_RETURN_S = 0.3, 120
 PULSE_WINDOW_S, PULSE_LEAST_S = 120, 20
+#: Fixed value: rolling medians of cycles look back so long.
+TWO_DAYS_US = 172_800_000_000
 
 
 @dataclass(frozen=True)
@@ -67,13 +70,9 @@ def feature_frame(wide: DataFrame, gap_s: float = 60.0, warm_up: int = 30, froze
     run_of((F.col("mode") == "loaded") & (F.col("dv_pressure") > 0.5), "_purge_run")
     since = lambda run: _seconds() - F.min(_seconds()).over(Window.partitionBy("unit_id", "segment", run))
     place = lambda run: F.row_number().over(Window.partitionBy("unit_id", "segment", run).orderBy("sim_ts", "seq"))
-    by_time = Window.partitionBy("unit_id", "segment").orderBy(F.unix_micros("sim_ts"))
-    frame = lambda s: by_time.rangeBetween(-s * 1_000_000, 0)
     base = F.min(_seconds()).over(Window.partitionBy("unit_id", "segment"))
     df = df.withColumn("_t", _seconds() - base)
     loaded = F.col("mode") == "loaded"
-    median = lambda v, s: F.percentile(v, F.lit(0.5)).over(frame(s))
-    slope = lambda v, s, n: F.when(F.count(v).over(frame(s)) >= n, F.regr_slope(v, "_t").over(frame(s)))
     df = df.withColumns(
         {
             "_tp_gap": F.col("tp2") - F.col("tp3"),
@@ -85,16 +84,6 @@ def feature_frame(wide: DataFrame, gap_s: float = 60.0, warm_up: int = 30, froze
             "samples": F.row_number().over(seg),
         }
     )
-    df = df.withColumns(
-        {
-            "tp3_slope": slope("tp3", 300, 3) * 60,
-            "oil_slope": slope("oil_temperature", 7200, 60) * 3600,
-            "oil_min": F.when(_seconds() - base >= 1800, F.min("oil_temperature").over(frame(1800))),
-            "current": median("motor_current", 60),
-            "tp_gap": median("_tp_gap", 60),
-            "res_gap": median("_res_gap", 300),
-        }
-    )
     # cycles: cut-in to cut-in within a segment, closed ones only
     cut_in = loaded & ~F.coalesce(F.lag(loaded).over(seg), F.lit(True))
     df = df.withColumn("_cut", cut_in.cast("int")).withColumn("cycle", F.sum("_cut").over(seg.rowsBetween(Window.unboundedPreceding, 0)))
@@ -120,27 +109,29 @@ def feature_frame(wide: DataFrame, gap_s: float = 60.0, warm_up: int = 30, froze
     )
     order = Window.partitionBy("unit_id", "segment").orderBy("cycle")
     last = lambda c, n: F.collect_list(c).over(order.rowsBetween(1 - n, 0))
-    # a new segment starts with nothing to look back on
-    two_days = Window.partitionBy("unit_id", "segment").orderBy(F.unix_micros("start")).rangeBetween(-172_800_000_000, 0)
-    rolling = lambda c, name: F.when(F.count(c).over(two_days) >= 20, F.least(F.percentile(c, F.lit(0.5)).over(two_days), F.lit(2 * FIRST_MONTH[name])))
-    span = Window.partitionBy("unit_id", "segment").orderBy(F.unix_micros("start")).rangeBetween(-7_200_000_000, 0)
-    width = F.max(F.unix_micros("start")).over(span) - F.min(F.unix_micros("start")).over(span)
     cyc = cyc.withColumn("_own_rate", F.when(F.col("period") > 0, 3600 / F.col("period")))
-    cyc = cyc.withColumns(
-        {
-            "decays": last("decay", 3),
-            "loads": last("loaded_s", 5),
-            "pulses": last("pulsed", 3),
-            "off_median": F.percentile("off_s", F.lit(0.5)).over(order.rowsBetween(-4, 0)),
-            "rate": F.when(width > 0, (F.count("start").over(span) - 1) * 3_600_000_000 / width),
-            "roll_decay": rolling("decay", "decay"),
-            "roll_run": rolling("loaded_s", "run"),
-            "roll_rate": rolling("_own_rate", "rate"),
-        }
-    )
+    cyc = cyc.withColumns({"decays": last("decay", 3), "loads": last("loaded_s", 5), "pulses": last("pulsed", 3), "off_median": F.percentile("off_s", F.lit(0.5)).over(order.rowsBetween(-4, 0))})
+    # a new segment starts with nothing to look back on
+    segment, start = ("unit_id", "segment"), F.unix_micros("start")
+    cyc = chunks.over_frames(cyc, segment, start, 7_200_000_000, {"_n": chunks.count(F.col("start")), "_first": chunks.least(start), "_last": chunks.greatest(start)})
+    width = F.col("_last") - F.col("_first")
+    cyc = cyc.withColumn("rate", F.when(width > 0, (F.col("_n") - 1) * 3_600_000_000 / width))
+    rolled = {"decay": "decay", "run": "loaded_s", "rate": "_own_rate"}
+    cyc = chunks.with_medians(cyc, segment, start, {f"_med_{name}": (c, TWO_DAYS_US) for name, c in rolled.items()})
+    cyc = chunks.over_frames(cyc, segment, start, TWO_DAYS_US, {f"_n_{name}": chunks.count(F.col(c)) for name, c in rolled.items()})
+    cyc = cyc.withColumns({f"roll_{name}": F.when(F.col(f"_n_{name}") >= 20, F.least(f"_med_{name}", F.lit(2 * FIRST_MONTH[name]))) for name in rolled})
     # a cycle's figures hold from the next cut-in on, when it is closed
     figures = cyc.select("unit_id", "segment", (F.col("cycle") + 1).alias("cycle"), "decays", "loads", "pulses", "off_median", "rate", "roll_decay", "roll_run", "roll_rate", "h1_back")
     df = df.join(figures, ["unit_id", "segment", "cycle"], "left")
+    # trailing figures, worked out once the cycles have met their samples, so that they are not made for both sides of that join
+    at, x = F.unix_micros("sim_ts"), F.col("_t")
+    df = chunks.with_medians(df, segment, at, {"current": ("motor_current", 60_000_000), "tp_gap": ("_tp_gap", 60_000_000), "res_gap": ("_res_gap", 300_000_000)})
+    df = chunks.over_frames(df, segment, at, 300_000_000, {"_n": chunks.count(F.col("tp3")), "_slope": chunks.slope(F.col("tp3"), x)})
+    df = df.withColumn("tp3_slope", F.when(F.col("_n") >= 3, F.col("_slope")) * 60).drop("_n", "_slope")
+    df = chunks.over_frames(df, segment, at, 1_800_000_000, {"_least": chunks.least(F.col("oil_temperature"))})
+    df = df.withColumn("oil_min", F.when(x >= 1800, F.col("_least"))).drop("_least")
+    df = chunks.over_frames(df, segment, at, 7_200_000_000, {"_n": chunks.count(F.col("oil_temperature")), "_slope": chunks.slope(F.col("oil_temperature"), x)})
+    df = df.withColumn("oil_slope", F.when(F.col("_n") >= 60, F.col("_slope")) * 3600).drop("_n", "_slope")
     # since the cut-out until the separator is back, growing while it isn't; while loaded, what the last closed cycle took
     open_ = (F.col("cycle") > 0) & (_seconds() >= F.col("_cut_out"))
     df = df.withColumn("h1_return_s", F.when(open_, F.least(_seconds(), F.col("_back")) - F.col("_cut_out")).otherwise(F.col("h1_back")))

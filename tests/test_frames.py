@@ -70,3 +70,11 @@ def test_cost_does_not_grow_with_the_rows_in_a_frame(spark):
     last = t.frames(tel, 6 * 3600).where("seq = 59999").first()
     assert time.time() - began < 40
     assert (last.n, last.errors) == (60000, 6667)
+
+
+@pytest.mark.parametrize("name", "emitted_frames feature_rules rule_firing_counts rolling_median_capped cycles_per_hour derived_quantities trailing_features episode_sessions".split())
+def test_no_frame_of_time_slides_row_by_row(spark, name):
+    from fathomline.plans import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    assert "RangeFrame, unbounded" in plan and "RangeFrame, -" not in plan
