@@ -174,22 +174,25 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
         part = bench.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b)
         index = WindowIndex([(r.item, r.text) for r in part.collect()], window)
         index.choose(_frequencies(docs, text_col, index) if index.windows else {})
-        state = state.mapInArrow(_joiner(index, text_col), state.schema)
+        join = _joiner(index, text_col)
+        if b < blocks - 1:
+            state = state.mapInArrow(join, state.schema)
+
+    # one pass, as each more of a stage holds a worker of its own beside the others
+    return state.mapInArrow(lambda batches: _finish(join(batches)), ddl_plus(docs, more))
 
-    def finish(batches):
-        for batch, texts in sliced(batches, text_col):
-            hits, items = batch.column(batch.schema.get_field_index("_hits")).to_pylist(), batch.column(batch.schema.get_field_index("_items")).to_pylist()
-            n_words, n_hit = zip(*(_summary(t, h) for t, h in zip(texts, hits)))
-            kept = batch.select([n for n in batch.schema.names if n not in ("_hits", "_items")])
-            yield with_columns(kept, n_words=pa.array(n_words, pa.int64()), n_hit=pa.array(n_hit, pa.int64()), items=pa.array([sorted(set(x)) for x in items], pa.list_(pa.string())))
 
-    return state.mapInArrow(finish, ddl_plus(docs, more))
+def _finish(batches):
+    """What the last block's pass leaves, with n_words, n_hit and items in place of its state."""
+    for batch in batches:
+        hits, items = batch.column(batch.schema.get_field_index("_hits")).to_pylist(), batch.column(batch.schema.get_field_index("_items")).to_pylist()
+        n_words, n_hit = zip(*(_summary(h) for h in hits))
+        kept = batch.select([n for n in batch.schema.names if n not in ("_hits", "_items")])
+        yield with_columns(kept, n_words=pa.array(n_words, pa.int64()), n_hit=pa.array(n_hit, pa.int64()), items=pa.array([sorted(set(x)) for x in items], pa.list_(pa.string())))
 
 
-def _summary(text: str | None, hits: bytes | None) -> tuple[int, int]:
+def _summary(hits: bytes) -> tuple[int, int]:
     """Number of words and of hit words; ``hits`` holds the word count and a bit for each word."""
-    if hits is None:
-        return len(words_of(text)), 0
     n = int.from_bytes(hits[:8], "little")
     return n, int(np.unpackbits(np.frombuffer(hits[8:], np.uint8), count=n).sum()) if len(hits) > 8 else 0
 

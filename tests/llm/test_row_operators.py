@@ -57,6 +57,15 @@ def test_contamination_in_blocks_equals_one_block(spark, monkeypatch):
     assert mark_contamination(docs, bench).collect() == whole
 
 
+def test_contamination_of_one_block_is_one_pass(spark):
+    """Each pass of a stage is a Python worker of its own, beside the others, in every task."""
+    docs = spark.createDataFrame([(1, "a b c", None), (2, None, None)], DOCS)
+    bench = spark.createDataFrame([("a", "b c")], "item_id string, text string")
+    marked = mark_contamination(docs, bench)
+    assert marked._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert [(r.doc_id, r.n_words, r.n_hit, r["items"]) for r in marked.orderBy("doc_id").collect()] == [(1, 3, 2, ["a"]), (2, 0, 0, [])]
+
+
 def test_url_rules(spark):
     urls = ["http://example.com/en/x", "https://www.EXAMPLE.com/en/?q", "http://a.net/es/", "http://net/fr/1", "http://xnet/fr/1", "http://x.com", "http://x.com/", None, "no scheme", "http://org/#a", "http://example.com/en/x", "x://y://net/es/"]
     pages = spark.createDataFrame([(i, u, "old") for i, u in enumerate(urls)], "page_id long, url string, verdict string")
