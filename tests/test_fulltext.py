@@ -57,6 +57,24 @@ def test_cover_density_equals_all_covers(spark, corpus):
     assert spans == set()  # no query's terms are all there
 
 
+def test_words_stay_with_their_document(spark, corpus):
+    """No word of the documents is dealt by itself, and places are not paired with their query's terms."""
+    docs, asked, _ = corpus
+    terms = spark.createDataFrame(ft.query_terms(asked, "q").collect())
+    places = ft.postings(docs, terms, "doc", "q")
+    for found in (places, ft.cover_rank(places, terms, "doc", "q")):
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+        assert plan.count("Window ") <= 2  # of the terms only
+    assert ft.covers(places, terms, "doc", "q").where("n > 1").count() > 60
+
+
+def test_covers_of_a_document_read_in_parts(spark):
+    places = spark.createDataFrame([(1, "d", p, t) for p, t in [(9, "a"), (2, "a"), (5, "b"), (4, "a"), (12, "b")]], "q int, doc string, pos int, lexeme string").repartition(3, "pos")
+    terms = spark.createDataFrame([(1, "a"), (1, "b")], "q int, lexeme string")
+    assert sorted((r.start, r.stop, r.n) for r in ft.covers(places, terms, "doc", "q").collect()) == [(4, 5, 2), (5, 9, 2), (9, 12, 2)]
+
+
 def test_any_term_counts_every_place(spark, corpus):
     docs, asked, positions = corpus
     terms = ft.query_terms(asked, "q")
