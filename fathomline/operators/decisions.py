@@ -42,11 +42,13 @@ def display_probabilities(support: DataFrame, query: str, key: str, score: str)
 
     Where nothing has any mass, all of it is on none of these.
     """
-    left = support.groupBy(query).agg((1 - F.greatest(F.lit(0.0), F.max(score))).alias(score)).withColumn(key, F.lit(NONE_OF_THESE))
-    every = support.select(query, key, score).unionByName(left.select(query, key, score))
-    total = F.sum(score).over(Window.partitionBy(query))
-    empty = F.when(F.col(key) == NONE_OF_THESE, 1.0).otherwise(0.0)
-    return every.select(query, key, F.when(total <= 0, empty).otherwise(F.try_divide(F.col(score), total)).alias("probability"))
+    own = F.collect_list(F.struct(F.col(key).alias("key"), F.col(score).cast("double").alias("score")))
+    left = 1 - F.greatest(F.lit(0.0), F.max(score))
+    each = support.groupBy(query).agg(own.alias("_own"), left.alias("_left"), (F.coalesce(F.sum(score), F.lit(0.0)) + left).alias("_total"))
+    none = F.array(F.struct(F.lit(NONE_OF_THESE).alias("key"), F.col("_left").alias("score")))
+    every = each.select(query, "_total", F.inline(F.concat("_own", none)))
+    empty = F.when(F.col("key") == NONE_OF_THESE, 1.0).otherwise(0.0)
+    return every.select(query, F.col("key").alias(key), F.when(F.col("_total") <= 0, empty).otherwise(F.try_divide("score", "_total")).alias("probability"))
 
 
 def _ranked(mass: Column) -> Column:
