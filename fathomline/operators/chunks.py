@@ -31,6 +31,21 @@ def look_back_chunks(df: DataFrame, t_us: str, chunk_us: int, look_back_us: int)
     return df.withColumn("chunk", F.explode_outer(F.sequence(at, last))).withColumn("own", F.col("chunk") == at)
 
 
+#: A unit's whole time is cut into so many equally long parts, where something is carried through all of it.
+PARTS = 256
+
+
+def in_parts(df: DataFrame, unit: str, t_us: Column) -> DataFrame:
+    """``df`` with ``chunk``, the part of its unit's time that a row lies in; rows without a time are part -1, and those without a unit.
+
+    What runs through a unit's history is worked out by part, so that no task holds a history: each part's end in few rows, those
+    from part to part, then every row from what its part begins with.
+    """
+    span = df.groupBy(unit).agg(F.min(t_us).alias("_least"), F.max(t_us).alias("_most"))
+    part = F.expr(f"(_us - _least) * {PARTS} div (_most - _least + 1)")
+    return df.withColumn("_us", t_us).join(span, unit, "left").withColumn("chunk", F.coalesce(part, F.lit(-1))).drop("_us", "_least", "_most")
+
+
 class Figure:
     """A frame's figure from those of its two parts: ``parts`` are aggregates over one, ``whole`` joins two lists of them."""
 

@@ -54,6 +54,25 @@ def with_steps(tel: DataFrame, gap_s: float, first_s: float = 10.0) -> DataFrame
     return df.withColumn("segment", F.sum(F.col("gap").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def with_steps_in_parts(tel: DataFrame, gap_s: float, first_s: float = 10.0) -> DataFrame:
+    """``with_steps`` worked out by ``chunk``, a part of the unit's time, which is a column more; no task holds a unit's history."""
+    df = chunks.in_parts(tel, "unit_id", micros("sim_ts"))
+    own = Window.partitionBy("unit_id", "chunk").orderBy(*ORDER)
+    now, is_gap = seconds("sim_ts"), lambda dt: F.coalesce((dt > gap_s) | (dt < 0), F.lit(False))
+    df = df.withColumn("_before", F.lag(now).over(own))
+    ends = df.groupBy("unit_id", "chunk").agg(F.min(now).alias("_first"), F.max(now).alias("_last"), F.count_if(is_gap(now - F.col("_before"))).alias("_gaps"))
+    in_order = Window.partitionBy("unit_id").orderBy("chunk")
+    ends = ends.withColumn("_in", F.lag("_last").over(in_order))
+    gaps = F.col("_gaps") + is_gap(F.col("_first") - F.col("_in")).cast("int")
+    ends = ends.select("unit_id", "chunk", "_in", F.coalesce(F.sum(gaps).over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    df = df.join(ends, ["unit_id", "chunk"], "left")
+    first = F.row_number().over(own) == 1
+    df = df.withColumn("dt", F.coalesce(now - F.when(first, F.col("_in")).otherwise(F.col("_before")), F.lit(first_s)))
+    df = df.withColumn("gap", (F.col("dt") > gap_s) | (F.col("dt") < 0))
+    so_far = F.sum(F.col("gap").cast("int")).over(own.rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn("segment", so_far + F.coalesce("_base", F.lit(0))).drop("_before", "_in", "_base")
+
+
 def with_runs(df: DataFrame, what: str, into: str = "run_id", partition: tuple = ("unit_id",)) -> DataFrame:
     """Number the runs of equal values; the first run is 1. Null is a value of its own."""
     w = Window.partitionBy(*partition).orderBy(*ORDER)

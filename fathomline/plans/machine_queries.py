@@ -49,8 +49,8 @@ c5 AS (SELECT *, coalesce(lag(lit) OVER (PARTITION BY unit_id, code ORDER BY t,
 
 
 def states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tel = t.with_steps(t.with_state(telemetry(spark, sf_dir)), 3600)
-    wide = tel.select("unit_id", "segment", "seq", F.unix_micros("sim_ts").alias("t_us"), "mode", "v", "motor_current")
+    tel = t.with_steps_in_parts(t.with_state(telemetry(spark, sf_dir)).drop("tag", "intake_closed", "load_valve"), 3600)
+    wide = tel.select("unit_id", "chunk", "segment", "seq", F.unix_micros("sim_ts").alias("t_us"), "mode", "v", "motor_current")
     return al.alarm_states(wide, al.alarm_registry(spark, MESSAGES, SETTINGS), ["v", "motor_current"])
 
 

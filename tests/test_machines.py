@@ -51,6 +51,33 @@ def test_one_message(spark, message, samples, want):
     assert changes(spark, message, samples) == want
 
 
+def test_parts_of_time_carry_all_that_runs_through_a_history(spark, monkeypatch):
+    """Whatever the cuts, states are those of one part; and no window over samples holds a unit's whole time."""
+    r = random.Random(8)
+    rows = []
+    for unit in (1, 2, None):
+        t, seg, v, mode = 0, 0, 9.0, "off"
+        for k in range(300):
+            step = r.choice([1, 5, 5, 5, 40])
+            t, seg = t + step * S, seg + (step == 40 and r.random() < 0.3)
+            v = r.choice([v, v, v, v, v, 8.0, 9.0, 11.0, 11.0, None])
+            mode = r.choice([mode] * 9 + ["off", "loaded", "unloaded", None])
+            rows.append((unit, seg, k, t, mode, v))
+    base = {"signal": "v", "op": "gt", "threshold": 10}
+    kinds = [{}, {"delay_s": 60}, {"delay_s": 30, "hysteresis": 1.5, "reset": "manual"}, {"hysteresis": 2, "delay_s": 20, "guard": "running", "mask_s": 90}, {"op": "lt", "delay_s": 25, "hysteresis": -1, "reset": "manual"}]
+    registry = al.alarm_registry(spark, [{**base, "code": f"A{k}", "bit": k, **kind} for k, kind in enumerate(kinds)])
+    found = []
+    for parts in (1, 23, 400):
+        monkeypatch.setattr("fathomline.operators.chunks.PARTS", parts)
+        states = al.alarm_states(spark.createDataFrame(rows, WIDE), registry, ["v"])
+        found.append((sorted(map(str, states.collect())), sorted(map(str, al.alarm_changes(states).collect()))))
+    assert found[0] == found[1] == found[2] and len(found[0][1]) > 50
+    from fathomline.operators import telemetry
+
+    tel = spark.createDataFrame([(u, k, t, m) for u, _, k, t, m, _ in rows], "unit_id long, seq long, t long, mode string").selectExpr("unit_id", "seq", "timestamp_micros(t) as sim_ts")
+    assert sorted(map(str, telemetry.with_steps_in_parts(tel, 30).drop("chunk").select("unit_id", "seq", "dt", "gap", "segment").collect())) == sorted(map(str, telemetry.with_steps(tel, 30).select("unit_id", "seq", "dt", "gap", "segment").collect()))
+
+
 def test_codes_come_by_bit_and_registry_is_checked(spark):
     ok = [{"code": "B", "bit": 9, "signal": "v", "op": "gt", "threshold": "limit"}, {"code": "C", "bit": 2, "signal": "v", "op": "ge", "threshold": 1}]
     registry = al.alarm_registry(spark, ok, {"limit": 5})
