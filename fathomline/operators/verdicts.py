@@ -23,6 +23,13 @@ def _within(at: str) -> Column:
     return (F.col(at) >= F.col("from_us")) & (F.col(at) < F.col("to_us"))
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """The rows by scenario, in as many parts as the session's shuffles have. All joins and counts follow on these parts in one stage, whose
+    memory is theirs together, so that small parts must not be put together again by their size on disk.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "scenario")
+
+
 def ticket_flags(tickets: DataFrame, windows: DataFrame) -> DataFrame:
     """The tickets with ``inside`` and ``hit``: in some window, and in one that accepts their fault."""
     w = windows.select(F.col("scenario").alias("_s"), "from_us", "to_us", "accepted")
@@ -34,6 +41,7 @@ def ticket_flags(tickets: DataFrame, windows: DataFrame) -> DataFrame:
 
 def scenario_verdicts(scenarios: DataFrame, windows: DataFrame, suspects: DataFrame, tickets: DataFrame) -> DataFrame:
     """(scenario, kind, detection, review_diagnosis, diagnosis), each whether the scenario passes at that level."""
+    windows, suspects, tickets = _dealt(windows), _dealt(suspects), _dealt(tickets)
     w = windows.select(F.col("scenario").alias("_s"), "window_id", "from_us", "to_us", F.col("deadline_us").alias("_by"))
     seen = suspects.join(w, (F.col("scenario") == F.col("_s")) & _within("t_us"), "left")
     in_time = F.col("_s").isNotNull() & (F.col("_by").isNull() | (F.col("t_us") <= F.col("_by")))
@@ -77,6 +85,7 @@ def design_reading(targets: DataFrame, episodes: DataFrame, tickets: DataFrame)
     ``targets`` has scenario and accepted (array), ``episodes`` scenario, from_us and to_us. Every ticket takes part at review level,
     those of level ticket at ticket level too. Met: the first ticket inside names an accepted fault.
     """
+    episodes, tickets = _dealt(episodes), _dealt(tickets)
     ep = episodes.select(F.col("scenario").alias("_s"), "from_us", "to_us")
     at = tickets.join(ep, (F.col("scenario") == F.col("_s")) & _within("opened_us"), "left")
     at = at.groupBy("scenario", "ticket_id", "opened_us", "level", "fault", F.col("benign").alias("_benign")).agg(F.bool_or(F.col("_s").isNotNull()).alias("inside"))
@@ -98,6 +107,7 @@ def design_reading(targets: DataFrame, episodes: DataFrame, tickets: DataFrame)
 
 def design_choices(targets: DataFrame, episodes: DataFrame, decisions: DataFrame) -> DataFrame:
     """(scenario, choice, n, on_target) of decisions (scenario, decision_id, t_us, choice) inside unlabelled episodes."""
+    episodes, decisions = _dealt(episodes), _dealt(decisions)
     ep = episodes.select(F.col("scenario").alias("_s"), "from_us", "to_us")
     inside = decisions.join(ep, (F.col("scenario") == F.col("_s")) & _within("t_us"), "left_semi").join(targets, "scenario")
     hit = (F.col("choice") != NONE_OF_THESE) & F.array_contains("accepted", F.col("choice"))

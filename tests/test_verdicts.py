@@ -60,3 +60,20 @@ def test_design_reading(spark):
     assert got == {("s", "review"): (1, 1, 1, 1, 1, False), ("s", "ticket"): (1, 0, 1, 1, 2, True), ("none", "review"): (0, 0, 0, 0, None, False), ("none", "ticket"): (0, 0, 0, 0, None, False)}
     decided = spark.createDataFrame([("s", 1, 12, "leak"), ("s", 2, 16, "leak"), ("s", 3, 16, "none_of_these"), ("s", 4, 40, "belt")], "scenario string, decision_id int, t_us long, choice string")
     assert {(r.choice, r.n, r.on_target) for r in v.design_choices(targets, episodes, decided).collect()} == {("leak", 2, True), ("none_of_these", 1, False)}
+
+
+def test_parts_are_not_put_together_by_their_size(spark):
+    """All joins of a scenario's tables run in one stage, so its parts stay as many as the session's."""
+    tables = [spark.createDataFrame(rows, ddl) for rows, ddl in (
+        ([(str(k), "positive", False, 0, "listed", None) for k in range(40)], SCENARIO),
+        ([(str(k), k, 10, 20, ["leak"], 15) for k in range(40)], WINDOW),
+        ([(str(k), 12) for k in range(40)], "scenario string, t_us long"),
+        ([(str(k), k, 12, "ticket", "leak", False) for k in range(40)], TICKET),
+    )]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = v.scenario_verdicts(*tables)
+        assert made.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert {tuple(r)[2:] for r in made.collect()} == {(True, True, True)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
