@@ -24,6 +24,8 @@ others go. Buckets are summed with partial aggregation and joined, never gathere
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,7 +48,10 @@ BROADCAST_LINES = 300_000
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Every line that is not blank: id, th (a hash of the whole text), pos, line without outer blanks, h1, h2."""
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
-    rows = rows.withColumn("line", F.btrim("line", F.lit(" \t\r"))).where("line != ''")
+    rows = rows.withColumn("line", F.trim("line"))
+    # trimming a set of characters looks at all of a text, so only lines that end in others than blanks go through it
+    others = reduce(Column.__or__, [end(F.lit(c)) for c in "\t\r" for end in (F.col("line").startswith, F.col("line").endswith)])
+    rows = rows.withColumn("line", F.when(others, F.btrim("line", F.lit(" \t\r"))).otherwise(F.col("line"))).where("line != ''")
     return rows.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(7), F.col("line")))
 
 
@@ -82,8 +87,8 @@ def _band_keys(line: Column) -> Column:
         begin = F.array(F.lit(1).cast("long"), *[F.array_position(m, b) + 1 for b in bounds])
 
         def keys(rows: int) -> Column:
-            # a bound that ends the range is part of the key
-            key = lambda j, b: F.xxhash64(F.lit(rows), b, F.slice(m, j.cast("int"), rows))
+            # a bound that ends the range is part of the key; single places, as a slice copies the whole array first
+            key = lambda j, b: F.xxhash64(F.lit(rows), b, *[F.get(m, j.cast("int") - 1 + i) for i in range(rows)])
             return F.array_compact(F.transform(begin, lambda j, b: F.when(~F.get(m, j.cast("int") - 1).eqNullSafe(F.get(ends, b)), key(j, b))))
 
         return F.when(n >= FEW, keys(ROWS)).when(n > FEW - 4, F.concat(keys(ROWS), keys(SHORT_ROWS))).when(n > 0, keys(SHORT_ROWS)).otherwise(none)
