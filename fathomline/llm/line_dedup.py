@@ -4,7 +4,10 @@ A line is the set of its character shingles: eight characters from every charact
 line is one shingle. Its signature comes from one hash of every shingle: the hash space is cut into
 ``BANDS`` ranges, and a band's key is made of the ROWS smallest hashes from the start of its range,
 so two lines share a key with a probability near the ROWS-th power of their Jaccard similarity, and
-at 0.8 share some key in about 98 of 100 cases.
+at 0.8 share some key in about 98 of 100 cases. A line of many words makes its keys of those shingles
+that begin a word: a sixth of them in most languages, and pairs at 0.8 meet no less often. Lines of few
+words, or of few blanks for their length, use every shingle, and lines in between make both kinds of keys.
+Only the keys are sampled: similarity is always that of all shingles.
 
 Repeated lines are folded into one row with their first place before anything is shuffled by band.
 Then, in this order:
@@ -39,6 +42,8 @@ BANDS, ROWS = 8, 4
 ENOUGH = 12
 #: Lines of fewer shingles make keys of two hashes, those of more than FEW - 4 keys of ROWS; in between both.
 FEW, SHORT_ROWS = 20, 2
+#: Distinct shingles at words' starts from which on they make a line's keys, if they are at least one in SPARSE.
+STARTS, SPARSE = 16, 16
 #: Buckets of up to so many lines are compared pair by pair.
 SMALL = 8
 #: Lines whose texts may be picked by a broadcast of their places; more are joined by a shuffle.
@@ -70,18 +75,19 @@ _WIDTH = (1 << 64) // BANDS
 _BOUNDS = [-(1 << 63) + b * _WIDTH for b in range(1, BANDS)]
 
 
+def _low(h: Column) -> Column:
+    """The low part of every hash range: a key reads a range's first hashes, so of many only these are sorted."""
+    part = F.lit(_WIDTH - 1).cast("long")
+    most = F.floor(F.lit(_WIDTH - 1) / F.size(h) * BANDS * ENOUGH).cast("long")
+    return F.when(F.size(h) <= BANDS * ENOUGH, h).otherwise(once(most, lambda x: F.filter(h, lambda v: v.bitwiseAND(part) < x)))
+
+
 def _band_keys(line: Column) -> Column:
-    """The band keys of a line: one for each hash range that holds a shingle."""
+    """The band keys of a line by all its shingles: one for each hash range that holds a shingle."""
     bounds = [F.lit(b).cast("long") for b in _BOUNDS]
     ends = F.array(*bounds, F.lit(None).cast("long"))
     none = F.array().cast("array<bigint>")
 
-    def low(h: Column) -> Column:
-        # a key reads the first hashes of a range, so of a long line only the low part of every range is sorted
-        part = F.lit(_WIDTH - 1).cast("long")
-        most = F.floor(F.lit(_WIDTH - 1) / F.size(h) * BANDS * ENOUGH).cast("long")
-        return F.when(F.size(h) <= BANDS * ENOUGH, h).otherwise(once(most, lambda x: F.filter(h, lambda v: v.bitwiseAND(part) < x)))
-
     def of(m: Column, n: Column) -> Column:
         # sorted together with the ranges' lower bounds, a range's hashes follow its bound
         begin = F.array(F.lit(1).cast("long"), *[F.array_position(m, b) + 1 for b in bounds])
@@ -94,11 +100,42 @@ def _band_keys(line: Column) -> Column:
         return F.when(n >= FEW, keys(ROWS)).when(n > FEW - 4, F.concat(keys(ROWS), keys(SHORT_ROWS))).when(n > 0, keys(SHORT_ROWS)).otherwise(none)
 
     def kept(h: Column) -> Column:
-        return once(F.sort_array(F.concat(F.array_distinct(low(h)), F.array(*bounds))), lambda m: of(m, F.size(h)))
+        return once(F.sort_array(F.concat(F.array_distinct(_low(h)), F.array(*bounds))), lambda m: of(m, F.size(h)))
 
     return once(_hashes(line), kept)
 
 
+def _start_hashes(line: Column) -> Column:
+    """A hash of every shingle of a line that begins a word, each once."""
+    found = F.regexp_extract_all(F.concat(F.lit(" "), line), F.lit(f"(?s) (?=(.{{{SHINGLE}}}))"), F.lit(1))
+    return F.array_distinct(F.transform(found, lambda x: F.xxhash64(x)))
+
+
+def _signed(lines: DataFrame) -> DataFrame:
+    """Every line's h1, h2, place and bands: its keys, nulls between them.
+
+    A step a select: what is named more than once is worked out once, and in generated code.
+    """
+    bounds = [F.lit(b).cast("long") for b in _BOUNDS]
+    rows = lines.select("h1", "h2", F.struct("id", "th", "pos").alias("place"), "line", _start_hashes(F.col("line")).alias("h"))
+    n, c = F.length("line"), F.size("h")
+    # near lines have about as many words: whichever side of the limits they are on, some kind of key is common
+    sampled = (c >= STARTS) & (SPARSE * c >= n)
+    alone = (4 * c >= 5 * STARTS) & (3 * SPARSE * c >= 4 * n)
+    none = F.array().cast("array<bigint>")
+    rows = rows.select("h1", "h2", "place", F.when(alone, none).otherwise(_band_keys(F.col("line"))).alias("own"), F.when(sampled, _low(F.col("h"))).alias("h"))
+    # sorted together with the ranges' lower bounds, a range's hashes follow its bound
+    rows = rows.withColumn("h", F.sort_array(F.concat("h", F.array(*bounds))))
+    rows = rows.withColumn("begin", F.array(F.lit(1), *[(F.array_position("h", b) + 1).cast("int") for b in bounds]))
+    keys = []
+    for b, end in enumerate([*bounds, F.lit(None).cast("long")]):
+        # slices, as single places make a method that is too long to be compiled
+        begin = F.get("begin", F.lit(b))
+        keys.append(F.when(~F.get("h", begin - 1).eqNullSafe(end), F.xxhash64(F.lit(1), F.lit(b), F.slice("h", begin, ROWS))))
+    bands = F.when(F.col("h").isNull(), F.col("own")).otherwise(F.concat("own", F.array(*keys)))
+    return rows.select("h1", "h2", "place", bands.alias("bands"))
+
+
 def _alike(x: Column, y: Column) -> Column:
     """Whether sets of these sizes can reach the similarity, however they overlap."""
     return 100 * F.least(x, y) >= SIMILARITY * F.greatest(x, y)
@@ -178,12 +215,11 @@ def _by_prefix(rows: DataFrame, texts: DataFrame) -> DataFrame:
 def _near_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Distinct lines that occur twice or have a near line: h1, h2 and the place (id, th, pos) that is kept."""
     lines = _lines(docs, id_col, text_col)
-    signed = lines.select("h1", "h2", F.struct("id", "th", "pos").alias("place"), _band_keys(F.col("line")).alias("bands"))
-    distinct = signed.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
+    distinct = _signed(lines).groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
     # the more often a line occurs, by powers of two, the smaller its number: a bucket's smallest is its most frequent
     often = F.shiftleft(31 - F.floor(F.log2("n")).cast("long"), 58)
     distinct = stash(distinct.withColumn("k", often + F.monotonically_increasing_id()), "lines")
-    banded = distinct.select("k", F.explode("bands").alias("band"))
+    banded = distinct.select("k", F.explode("bands").alias("band")).where("band IS NOT NULL")
     heads = banded.groupBy("band").agg(F.min("k").alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1")
     members = stash(banded.join(heads, "band"), "buckets")
     pairs = stash(members.where("k != head").select(F.col("head").alias("a"), F.col("k").alias("b")).distinct(), "proposed")

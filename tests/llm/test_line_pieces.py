@@ -1,5 +1,7 @@
 """Lines and their band keys: cheaper expressions with the values that the plain ones have."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from fathomline.llm import line_dedup as d
@@ -39,3 +41,46 @@ def test_band_keys_are_those_of_the_smallest_hashes_of_each_range(spark):
     for r in keyed.collect():
         by[r.line].append(r.key)
     assert {r.line: sorted(r.bands) for r in rows} == {line: sorted(keys) for line, keys in by.items()}
+
+
+def _words(rng, n):
+    return " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(n))
+
+
+def _shingles(line):
+    return {line[i : i + 8] for i in range(max(1, len(line) - 7))}
+
+
+def test_lines_of_many_words_make_keys_of_the_shingles_that_begin_a_word(spark):
+    rng = random.Random(1)
+    many, few, between = _words(rng, 60), _words(rng, 9), _words(rng, d.STARTS + 3)
+    unbroken = _words(rng, 60).replace(" ", "") + " " + _words(rng, d.STARTS + 30)[:150]
+    docs = spark.createDataFrame(list(enumerate([many, few, between, unbroken])), "id long, text string")
+    lines = d._lines(docs, "id", "text")
+    rows = d._signed(lines).join(lines.select("h1", "line", d._band_keys(F.col("line")).alias("full"), F.size(d._start_hashes(F.col("line"))).alias("c")), "h1").collect()
+    got = {r.line: ({k for k in r.bands if k is not None}, set(r.full), r.c) for r in rows}
+    held, full, c = got[many]
+    assert c == len({(" " + many)[i + 1 : i + 9] for i in range(len(many) - 7) if (" " + many)[i] == " "}) and 0 < len(held) <= d.BANDS and not held & full
+    assert got[few][0] == got[few][1]
+    assert got[between][1] < got[between][0]
+    assert got[unbroken][1] <= got[unbroken][0]
+
+
+def test_near_lines_go_and_others_stay_whichever_keys_they_make(spark):
+    rng = random.Random(2)
+    lines, tests = [], []
+    while len(tests) < 400:
+        line = _words(rng, rng.choice([6, 12, 17, 20, 25, 40, 90, 250]))
+        words = line.split(" ")
+        for _ in range(rng.randint(1, max(1, len(words) // 6))):
+            words[rng.randrange(len(words))] = _words(rng, 1)
+        other = " ".join(words)
+        x, y = _shingles(line), _shingles(other)
+        if line != other:
+            tests.append(100 * len(x & y) >= 80 * len(x | y))
+            lines += [line, other]
+    out = {r.id: r.text for r in d.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "id long, text string"), "id").collect()}
+    assert all(out[2 * i] for i in range(len(tests)))
+    gone = [out[2 * i + 1] == "" for i in range(len(tests))]
+    assert sum(tests) > 80 and not any(g and not t for g, t in zip(gone, tests))
+    assert sum(gone) >= 0.97 * sum(tests)
